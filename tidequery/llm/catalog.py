@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidequery.llm import simhash
+from tidequery.llm import decontam, langid, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_token_counts": token_counts.op4,
+        "op5_benchmark_decontamination": decontam.op5,
+        "op9_language_id": langid.op9,
         "op10_simhash_near_dedup": simhash.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_benchmark_decontamination": decontam.OP5_SQL,
+    }
