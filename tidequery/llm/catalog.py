@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidequery.llm import decontam, langid, simhash, token_counts
+from tidequery.llm import decontam, langid, line_dedup, mixing, simhash, token_counts, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": line_dedup.op2,
+        "op3_url_filters": url_filters.op3,
         "op4_token_counts": token_counts.op4,
         "op5_benchmark_decontamination": decontam.op5,
+        "op7_mixing": mixing.op7,
         "op9_language_id": langid.op9,
         "op10_simhash_near_dedup": simhash.op10,
     }
@@ -20,5 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_dedup": line_dedup.OP2_SQL,
+        "op3_url_filters": url_filters.OP3_SQL,
         "op5_benchmark_decontamination": decontam.OP5_SQL,
     }
