@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidequery.llm import decontam, langid, line_dedup, mixing, simhash, token_counts, url_filters
+from tidequery.llm import decontam, langid, line_dedup, mixing, simhash, token_counts, url_filters, weighted_sampling
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": token_counts.op4,
         "op5_benchmark_decontamination": decontam.op5,
         "op7_mixing": mixing.op7,
+        "op8_weighted_fingerprints": weighted_sampling.op8,
         "op9_language_id": langid.op9,
         "op10_simhash_near_dedup": simhash.op10,
     }

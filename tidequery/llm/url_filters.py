@@ -98,18 +98,18 @@ with h as (
 ), s as (
   select list, pattern, 1704067200 + d * 86400 as t, min(action) as action from e group by list, pattern, d
 ), c as (
-  select row_number() over () as r, page_id, url, 1704067200 + cast(('0x' || substr(md5(url), 1, 7)) as bigint) % 31536000 as at, {_HOSTS} as host,
+  select row_number() over () as r, page_id, url, 1704067200 + cast(('0x' || substr(md5(url), 1, 7)) as bigint) % 31536000 as tm, {_HOSTS} as host,
     regexp_extract(lower(url), '{_PATH}', 1) as seg from pages
 ), l as (
-  select r, at, seg, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda k: array_to_string(string_split(host, '.')[k:], '.'))) as d from c where host is not null
+  select r, tm, seg, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda k: array_to_string(string_split(host, '.')[k:], '.'))) as d from c where host is not null
 ), q as (
-  select r, at, d as pattern from l union all select r, at, d || '/' || seg from l where seg <> ''
+  select r, tm, d as pattern from l union all select r, tm, d || '/' || seg from l where seg <> ''
 ), a as (
   select r, s.list, s.pattern, s.action, row_number() over (partition by r, s.list, s.pattern order by s.t desc) as w
-  from q join s on q.pattern = s.pattern and s.t <= q.at
+  from q join s on q.pattern = s.pattern and s.t <= q.tm
 ), m as (
   select r, count(*) as n_entries, min(pattern) as first_pattern, string_agg(distinct list, ',' order by list) as lists from a where w = 1 and action = 'add' group by r
 )
-select page_id, url, at as fetched, m.r is not null as blocked, coalesce(n_entries, 0) as n_entries, first_pattern, coalesce(lists, '') as lists
+select page_id, url, tm as fetched, m.r is not null as blocked, coalesce(n_entries, 0) as n_entries, first_pattern, coalesce(lists, '') as lists
 from c left join m on c.r = m.r
 """
