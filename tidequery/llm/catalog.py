@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidequery.llm import decontam, langid, line_dedup, mixing, simhash, token_counts, url_filters, weighted_sampling
+from tidequery.llm import decontam, langid, line_dedup, mixing, paragraph_dedup, simhash, token_counts, tool_calls, url_filters, weighted_sampling
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_tool_call_linking": tool_calls.op1,
         "op2_line_dedup": line_dedup.op2,
         "op3_url_filters": url_filters.op3,
         "op4_token_counts": token_counts.op4,
         "op5_benchmark_decontamination": decontam.op5,
+        "op6_substring_dedup": paragraph_dedup.op6,
         "op7_mixing": mixing.op7,
         "op8_weighted_fingerprints": weighted_sampling.op8,
         "op9_language_id": langid.op9,
