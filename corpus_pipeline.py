@@ -1,13 +1,87 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written and read again, each built on one operator of tidequery.llm."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidequery.llm import decontam, langid, line_dedup, mixing, simhash
+from tidequery.llm.common import durable, table
+
+#: The columns of documents.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Least posterior probability of a document's language.
+SURE = 0.5
+
+
+def _kept(docs: DataFrame, ids: DataFrame, bad: bool) -> DataFrame:
+    """docs with (or, if bad, without) a doc_id of ids; a null doc_id is like any other."""
+    ids = ids.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null")).distinct()
+    on = (F.coalesce(F.col("doc_id"), F.lit(-1)) == F.col("_id")) & (F.col("doc_id").isNull() == F.col("_null"))
+    return docs.select(*COLUMNS).join(ids, on, "left_anti" if bad else "left_semi").select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose language can't be told (no text, no letter, or no language with a probability of SURE). The model learns from these documents. If they name no language at all, nothing can be told and all stay."""
+    model = langid.learned(docs)
+    if not model.langs:
+        return docs.select(*COLUMNS)
+    said = langid.predict(docs, model)
+    return _kept(docs, said.where((F.col("lang_pred") == langid.UND) | (F.col("score") < SURE)), bad=True)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops boilerplate lines, with source as the host. A document of which nothing but white space is left goes if it lost a line."""
+    rows = docs.select(*COLUMNS).withColumn("_lines", F.split("text", "\n"))
+    out = line_dedup.drop_boilerplate(rows, "source", "_lines", "_kept")
+    changed = F.size("_kept") < F.size("_lines")
+    text = F.when(changed, F.array_join("_kept", "\n")).otherwise(F.col("text"))
+    out = out.select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), changed.alias("_changed"))
+    return out.where(~F.coalesce(F.col("_changed"), F.lit(False)) | F.col("text").rlike(r"\S")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near-duplicates the document of the least doc_id; rows that repeat a doc_id are one document, of which the one of the least text hash stays. Null ids of a group without any other id are one document."""
+    found = simhash.near_duplicates(docs)
+    firsts = durable(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")))
+    kept = _kept(docs, firsts, bad=False)
+    if firsts.where("n > 1").isEmpty():
+        return kept
+    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS), F.xxhash64("text")).alias("d"))
+    return one.select(*(F.col(f"d.{c}").alias(c) for c in COLUMNS))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain a window of a benchmark item."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _kept(docs, found.where("n_hit > 0"), bad=True)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Samples documents by probabilities calibrated to target weights; adds topic, tokens, weight and probability."""
+    out = mixing.mixed(docs.select(*COLUMNS))
+    return out.select(*COLUMNS, F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_weight", 6).alias("weight"), F.round("_p", 6).alias("p"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("near_dedup", near_duplicates),
+    ("decontamination", benchmark),
+    ("mixing", mix),
+]
+
+#: SQL can't express the learned language model, SimHash's XXH64 or the fitted sample; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = durable(docs)
     return docs
