@@ -6,16 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidequery.plans.reads_sql import READS
 from tidequery.sources.tables import register
 
-SQL: dict[str, tuple[str, str | None]] = {
-    "join_topk": (
-        "select o.o_orderkey, o.o_orderdate, c.c_name from orders o join customer c on c.c_custkey = o.o_custkey"
-        " where c.c_nationkey = 3 order by o.o_orderdate desc, o.o_orderkey desc limit 20",
-        None,
-    ),
-}
-
 
 def _runner(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +19,8 @@ def _runner(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _runner(v[0]) for k, v in SQL.items()}
+    return {k: _runner(v[0]) for k, v in READS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v[1] or v[0] for k, v in SQL.items()}
+    return {k: v[1] or v[0] for k, v in READS.items()}
