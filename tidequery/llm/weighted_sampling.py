@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tidequery.llm.common import durable, table
 
 SAMPLES, WIDE = 64, 8
-#: A null id stands before all others; its key is the least long.
-_KEY = "coalesce(doc_id, -9223372036854775808L)"
+#: A null id stands before all others; its key is the least long, which is no id of its own.
+_KEY, _ID = "coalesce(doc_id, -9223372036854775808L)", "nullif(k, -9223372036854775808L)"
 
 
 def words(text: str | Column) -> Column:
@@ -44,8 +44,8 @@ def signatures(weights: DataFrame, keys: list[str], sides: list[str], samples: i
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
-    """The share of draws in which two fingerprints agree."""
-    same = " + ".join(f"cast(substr({a}, {4 * j + 1}, 4) = substr({b}, {4 * j + 1}, 4) as int)" for j in range(samples))
+    """The share of draws in which two fingerprints, as bytes, agree."""
+    same = " + ".join(f"cast(substr({a}, {2 * j + 1}, 2) = substr({b}, {2 * j + 1}, 2) as int)" for j in range(samples))
     return F.expr(f"cast({same} as double) / {samples}")
 
 
@@ -70,30 +70,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text: the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next document
     in ascending doc_id (after the last: the first). near_edited and near_next: likeness to the edited text's fingerprint
     and to the next document's. A null text is empty; texts without words have equal fingerprints, unlike any other. A
-    null doc_id comes before all others. Rows that repeat a doc_id each give a row and have the same next document; the
+    null doc_id (or the least long) comes before all others. Rows that repeat a doc_id each give a row and have the same next document; the
     one with the least hash of its text stands for its doc_id as the next of others. One document alone is its own next.
     An empty table gives an empty result; other columns are ignored.
-    Texts are dealt by id once and stay there; their terms are counted and sampled without another exchange.
+    Texts are dealt by id once (both uses read the same exchange) and stay there; their terms are counted and sampled
+    without another exchange.
     """
     parts = spread * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = base.select("doc_id", F.expr(_KEY).alias("k"), "text", F.length("text").cast("long").alias("n"))
+    base = base.select(F.expr(_KEY).alias("k"), "text", F.length("text").cast("long").alias("n"))
     order = durable(_order(base.select("k", F.expr("n div 4").alias("q"))))
     dealt = base.repartition(parts, "k").withColumn("o", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("text"), "n")))
     heads = dealt.where("o = 1").join(order.select("k", "before_k", "before_q"), "k")
     heads = heads.select(F.col("before_k").alias("k"), F.expr("substring(text, 1, cast(before_q as int))").alias("head")).repartition(parts, "k")
     both = dealt.join(heads, "k").withColumn("edited", F.expr("concat(substring(text, 1, cast(n - n div 4 as int)), substring(head, 1, cast(n div 4 as int)))"))
-    plain = both.select("doc_id", "k", "o", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    plain = both.select("k", "o", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     each = both.select("k", "o", F.explode(F.array(F.struct(F.lit(1).alias("x"), F.lit(0).alias("y"), F.col("text").alias("t")), F.struct(F.lit(0).alias("x"), F.lit(1).alias("y"), F.col("edited").alias("t")))).alias("s"))
     each = each.select("k", "o", "s.x", "s.y", F.explode(words("s.t")).alias("word")).where("word <> ''")
     counted = each.groupBy("k", "o", F.xxhash64("word").alias("term")).agg(F.sum("x").alias("own"), F.sum("y").alias("edited"))
     signed = signatures(counted, ["k", "o"], ["own", "edited"], samples)
     none = F.lit("ffff" * samples)
-    signed = plain.join(signed, ["k", "o"], "left").withColumns({"own": F.coalesce("own", none), "edited": F.coalesce("edited", none)})
+    signed = plain.join(signed, ["k", "o"], "left").withColumns({c: F.unhex(F.coalesce(c, none)) for c in ("own", "edited")})
     signed = durable(signed)
     after = signed.where("o = 1").select("k", F.col("own").alias("next")).join(order, "k").select(F.col("before_k").alias("k"), "next")
     out = signed.join(after, "k")
-    return out.select("doc_id", F.col("n").alias("n_chars"), "edited_sha256", F.col("own").alias("fingerprint"), F.col("edited").alias("edited_fingerprint"), likeness("own", "edited", samples).alias("near_edited"), likeness("own", "next", samples).alias("near_next"))
+    digits = lambda c: F.lower(F.hex(c))
+    return out.select(F.expr(_ID).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", digits("own").alias("fingerprint"), digits("edited").alias("edited_fingerprint"), likeness("own", "edited", samples).alias("near_edited"), likeness("own", "next", samples).alias("near_next"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
