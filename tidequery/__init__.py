@@ -1 +1,7 @@
 """tidequery: plain SQL over versioned parquet tables, with live queries, on PySpark."""
+
+from tidequery.database import Database
+from tidequery.errors import ConnectionFailed, EngineError, QueryError, StateError, TransactionError
+from tidequery.session import local_session
+
+__all__ = ["ConnectionFailed", "Database", "EngineError", "QueryError", "StateError", "TransactionError", "local_session"]
