@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidequery.plans.engine_queries import ENGINE
 from tidequery.plans.reads_sql import READS
 from tidequery.sources.tables import register
 
@@ -19,8 +20,8 @@ def _runner(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _runner(v[0]) for k, v in READS.items()}
+    return {k: _runner(v[0]) for k, v in READS.items()} | {k: v[0] for k, v in ENGINE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v[1] or v[0] for k, v in READS.items()}
+    return {k: v[1] or v[0] for k, v in READS.items()} | {k: v[1] for k, v in ENGINE.items()}
