@@ -1,7 +1,13 @@
 """tidequery: plain SQL over versioned parquet tables, with live queries, on PySpark."""
 
-from tidequery.database import Database
-from tidequery.errors import ConnectionFailed, EngineError, QueryError, StateError, TransactionError
-from tidequery.session import local_session
+from importlib import import_module
 
-__all__ = ["ConnectionFailed", "Database", "EngineError", "QueryError", "StateError", "TransactionError", "local_session"]
+_HOMES = {"Database": "database", "local_session": "session"} | dict.fromkeys(("ConnectionFailed", "EngineError", "QueryError", "StateError", "TransactionError"), "errors")
+__all__ = sorted(_HOMES)
+
+
+def __getattr__(name: str) -> object:
+    """Names are loaded when asked for, so that executors load only what they run."""
+    if name in _HOMES:
+        return getattr(import_module(f"tidequery.{_HOMES[name]}"), name)
+    raise AttributeError(name)
