@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | object) -> DataFrame:
+    """df.mapInArrow(run, schema), where executors get this package's code from the driver, so it needn't be installed there."""
+    sc = df.sparkSession.sparkContext
+    if not getattr(sc, "_tidequery_shipped", False):
+        root = Path(__file__).resolve().parent.parent
+        code = os.path.realpath(os.path.join(tempfile.mkdtemp(prefix="tq-code-"), "tidequery_code.zip"))
+        with zipfile.ZipFile(code, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(code)
+        sc._tidequery_shipped = True
+    return df.mapInArrow(run, schema)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     """The UTF-8 bytes of a string column; None where it is null."""
     return batch.column(column).cast(pa.binary()).to_pylist()

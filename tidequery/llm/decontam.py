@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidequery.llm.common import durable, slices, table, texts
+from tidequery.llm.common import durable, mapped, slices, table, texts
 
 #: Words of an item window, and of the shingles that are ordered by rarity.
 WINDOW, SHINGLE = 10, 3
@@ -111,7 +111,7 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", w
             yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.string()), pa.array([x.decode() for x in got[1]], pa.string()), pa.array(got[2], pa.int32())], names=["item", "words", "n"])
 
     few = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null")
-    return few.mapInArrow(run, "item string, words string, n int").distinct()
+    return mapped(few, run, "item string, words string, n int").distinct()
 
 
 class Index:
@@ -194,7 +194,7 @@ def _rarity(docs: DataFrame, index: Index) -> dict[int, int]:
             k = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array(look.keys[k].view(np.int64)), pa.array(own[k])], names=["key", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    rows = mapped(docs.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     return dict(zip(rows.column("key").to_numpy().view(np.uint64).tolist(), rows.column("n").to_pylist(), strict=True))
 
 
@@ -216,7 +216,7 @@ def _joined(docs: DataFrame, index: Index) -> DataFrame:
             named = {"n_words": pa.array(np.diff(w.first), pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": pa.array(spans, b.schema.field("spans").type)}
             yield pa.RecordBatch.from_arrays([named.get(n, b.column(i)) for i, n in enumerate(b.schema.names)], names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def merged(old: list[dict], new) -> list[dict]:

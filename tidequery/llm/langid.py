@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidequery.llm.common import durable, slices, table
+from tidequery.llm.common import durable, mapped, slices, table
 
 ORDERS = (1, 2, 3, 4)
 BITS = 15
@@ -115,7 +115,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", bit
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(k) + 1)), pa.array(np.r_[k, -1]), pa.array(np.r_[own[k], docs[lang]])], names=["lang", "bucket", "n"])
 
     few = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    rows = few.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = mapped(few, run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = durable(rows)
     if rows.where("bucket = -1").count() > most_langs:
         raise ValueError(f"over {most_langs} languages")
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(said, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return few.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return mapped(few, run, "doc_id long, lang_pred string, score double")
 
 
 #: Whether a document is held out of the learning.

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidequery.llm.common import components, durable, hooked, slices, table, texts
+from tidequery.llm.common import components, durable, hooked, mapped, slices, table, texts
 from tidequery.llm.decontam import Words, _spans, words_of
 
 SHINGLE, THRESHOLD, RECALL, MIN_WORDS = 5, 0.8, 0.9995, 20
@@ -143,9 +143,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 keys = p.keys(chosen, bands, ROWS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel()), pa.array(np.tile(p.cls[chosen], bands)), pa.array(np.repeat((np.arange(bands) >= FIRST).astype(np.int32), len(chosen)))], names=["key", "cls", "late"])
 
-    members = durable(few.mapInArrow(listed, "doc_id long, paragraph int, n_words long, cls long"))
+    members = durable(mapped(few, listed, "doc_id long, paragraph int, n_words long, cls long"))
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = few.mapInArrow(banded, "key long, cls long, late int").repartition(parts, "key")
+    dealt = mapped(few, banded, "key long, cls long, late int").repartition(parts, "key")
     several = dealt.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
     met = durable(dealt.join(several, "key").distinct())
     wanted = met.select("cls").distinct()
@@ -164,7 +164,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             found = [np.unique(p.shingles[ends[k] : ends[k + 1]]).tobytes() for k in chosen.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(p.cls[chosen]), pa.array(found, pa.binary())], names=["cls", "shingles"])
 
-    own = few.mapInArrow(sets, "cls long, shingles binary")
+    own = mapped(few, sets, "cls long, shingles binary")
     own = durable((own if few_enough else own.join(wanted, "cls", "left_semi")).dropDuplicates(["cls"]))
     edges, roots = None, None
     for late in (0, 1):
@@ -173,7 +173,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         open_ = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", F.expr(f"cast(ceil(m / {block}) as int)").alias("nb"))
         rows = rows.join(open_, "key").withColumn("bl", F.expr("cast(pmod(xxhash64(cls), nb) as int)")).withColumn("o", F.explode(F.expr("sequence(0, nb - 1)")))
         rows = rows.select(F.expr("xxhash64(key, least(bl, o), greatest(bl, o))").alias("gid"), "cls", "root", F.expr("case when bl = o then 2 when bl < o then 0 else 1 end").alias("side"))
-        new = rows.join(own, "cls").select("gid", "cls", "root", "side", "shingles").repartition("gid").sortWithinPartitions("gid").mapInArrow(_compare(threshold), "a long, b long")
+        dealt_out = rows.join(own, "cls").select("gid", "cls", "root", "side", "shingles").repartition("gid").sortWithinPartitions("gid")
+        new = mapped(dealt_out, _compare(threshold), "a long, b long")
         edges = new if edges is None else edges.unionByName(new)
         edges = durable(edges)
         roots = durable(components(edges))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidequery.llm.common import components, durable, hooked, slices, texts
+from tidequery.llm.common import components, durable, hooked, mapped, slices, texts
 
 #: Members of a bucket that one comparison takes from each side; larger buckets are split into pairs of such blocks.
 BLOCK = 4096
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return few.mapInArrow(run, "doc_id long, fp long")
+    return mapped(few, run, "doc_id long, fp long")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -200,7 +200,7 @@ def links(classes: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
     met = met.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)")))
     group = "xxhash64(key, least(bl, o), greatest(bl, o))"
     met = met.select(F.expr(group).alias("gid"), "fp", F.expr("case when bl = o then 2 when bl < o then 0 else 1 end").alias("side"))
-    return met.repartition("gid").sortWithinPartitions("gid").mapInArrow(_compare(radius), "a long, b long")
+    return mapped(met.repartition("gid").sortWithinPartitions("gid"), _compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, block: int = BLOCK) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidequery.llm.common import slices, table
+from tidequery.llm.common import mapped, slices, table
 
 #: Characters whose class (letter, number, space, other) is the same in the Unicode versions of both regex engines.
 SETTLED = r"\x00-\u0529\u2000-\u206f\u3000-\u30ff\u4e00-\u9fff"
@@ -143,7 +143,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return few.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(few, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

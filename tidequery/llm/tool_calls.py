@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidequery.llm.common import durable, slices, table
+from tidequery.llm.common import durable, mapped, slices, table
 
 #: JSON types of a schema's fields and the Python types they take.
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
@@ -134,7 +134,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
             yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(valid, pa.bool_()), pa.array(errors, pa.list_(pa.string())), pa.array(message, pa.string())], names=[*cols, "valid", "errors", "message"])
 
     kind = dict(rows.dtypes)
-    return rows.mapInArrow(run, f"conv {kind['conv']}, turn long, id string, name string, depth long, result_turn long, status string, valid boolean, errors array<string>, message string")
+    return mapped(rows, run, f"conv {kind['conv']}, turn long, id string, name string, depth long, result_turn long, status string, valid boolean, errors array<string>, message string")
 
 
 #: Schemas of the tools in op1.
