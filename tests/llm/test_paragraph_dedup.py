@@ -34,7 +34,7 @@ def brute(docs, least=8, threshold=0.8):
         if len(own) > 1:
             head = min((ps[i][0] is not None, ps[i][0] or 0, ps[i][1]) for i in own)
             head = (head[1] if head[0] else None, head[2])
-            out += [(ps[i][0], ps[i][1], len(ps[i][2]), *head, len(own), (ps[i][0], ps[i][1]) != head) for i in own]
+            out += [(ps[i][0], ps[i][1], 0, len(ps[i][2]), *head, len(own), (ps[i][0], ps[i][1]) != head) for i in own]
     return sorted(out, key=repr)
 
 
@@ -63,7 +63,7 @@ def test_matches_brute_force(spark):
     df = spark.createDataFrame([(a, b, 1.5, "x") for a, b in docs], "doc_id long, text string, cls double, key string")
     want = brute(docs)
     for block, most in ((pd.BLOCK, pd.BROADCAST), (3, 0)):
-        got = pd.repeated_paragraphs(df, min_words=8, block=block, broadcast=most).collect()
+        got = pd.repeated_paragraphs(df, min_words=8, block=block, broadcast=most, passage=10**6).collect()
         assert sorted([tuple(x) for x in got], key=repr) == want
     assert want and any(x[-1] for x in want)
 
@@ -73,3 +73,20 @@ def test_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(1, t), (1, t)], "doc_id long, text string")
     assert [(x.members, x.cluster_doc_id) for x in pd.repeated_paragraphs(df).collect()] == [(2, 1), (2, 1)]
     assert pd.repeated_paragraphs(df.limit(0)).count() == 0
+
+
+def test_passages_inside_of_lines(spark):
+    r = random.Random(3)
+    sentence = lambda n: " ".join(f"w{r.randint(0, 10**9)}" for _ in range(n)).capitalize() + "."
+    passage = " ".join(sentence(n) for n in (7, 12, 9, 14, 9))
+    long_ = passage + " " + " ".join(sentence(10) for _ in range(6))
+    line = lambda *x: " ".join(x)
+    docs = [(1, passage), (2, line(sentence(30), passage, sentence(40))), (3, line(passage, sentence(3))), (4, line(sentence(60), sentence(30))), (5, long_), (6, line(sentence(30), long_)), (7, f"{sentence(9)}\n{long_}"), (None, line(sentence(20), passage))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for most in (pd.BROADCAST, 0):
+        got = pd.repeated_paragraphs(df, broadcast=most).collect()
+        assert {x.doc_id for x in got} == {1, 2, 3, 5, 6, 7, None}
+        at = {(x.doc_id, x.paragraph, x.first_word): x for x in got}
+        assert at[2, 0, 30].n_words == 51 and at[2, 0, 30].members == 8 and at[1, 0, 0].n_words == 51
+        assert at[5, 0, 0].n_words == 111 and (5, 0, 7) not in at and not at[5, 0, 0].removed and at[7, 1, 0].removed
+        assert sum(not x.removed and x.cluster_doc_id == x.doc_id and x.n_words == 51 and x.first_word in (0, 20) for x in got) == 1

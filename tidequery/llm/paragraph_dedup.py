@@ -13,6 +13,8 @@ from tidequery.llm.common import components, durable, hooked, mapped, slices, ta
 from tidequery.llm.decontam import Words, _spans, words_of
 
 SHINGLE, THRESHOLD, RECALL, MIN_WORDS = 5, 0.8, 0.9995, 20
+#: Words of a passage: the fewest whole sentences with so many words, from each start of a sentence in a line.
+PASSAGE = 50
 #: Rows of a band; bands of the first round; members of a bucket that a comparison takes from each side.
 ROWS, FIRST, BLOCK = 5, 4, 1024
 #: Classes whose shingles are picked by a broadcast array (8 bytes each); more are picked by a join.
@@ -42,8 +44,9 @@ class Paragraphs:
         base = np.cumsum(count) - count
         self.text = np.repeat(np.arange(len(batch)), count)[at]
         self.place = at - base[self.text] if len(at) else at
-        self.n = n[at]
-        self.cls = _mixed(_spans(w.hashes, w.first[at], w.first[at + 1], 0xBF58476D1CE4E5B9, pow(0xBF58476D1CE4E5B9, -1, 1 << 64)) + n[at].astype(np.uint64)).view(np.int64)
+        self.n, self.w, self.lines, self._base = n[at], w, np.repeat(np.arange(len(batch)), count), base
+        self._of = [x for own in lines for x in own]
+        self.cls = self._classes(w.first[at], w.first[at + 1])
         k = np.minimum(n[at], shingle)
         size = self.n - k + 1
         ends = np.cumsum(size)
@@ -52,6 +55,23 @@ class Paragraphs:
         span = np.repeat(k, size)
         self.shingles = _mixed(_spans(w.hashes, word, word + span, _MIX, pow(_MIX, -1, 1 << 64)))
 
+    def _classes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return _mixed(_spans(self.w.hashes, start, stop, 0xBF58476D1CE4E5B9, pow(0xBF58476D1CE4E5B9, -1, 1 << 64)) + (stop - start).astype(np.uint64)).view(np.int64)
+
+    def passages(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place of the line, first word in it, words, class) of the passages that are shorter than their line."""
+        joined = np.frombuffer(b"\0".join(self._of) + b"\0", np.uint8)
+        ends = np.flatnonzero((joined == 0x2E) | (joined == 0x21) | (joined == 0x3F))
+        cuts = np.unique(np.r_[self.w.first, np.searchsorted(self.w.starts, ends)])
+        start = cuts[:-1]
+        line = np.searchsorted(self.w.first, start, side="right") - 1
+        stop = cuts[np.minimum(np.searchsorted(cuts, start + least), len(cuts) - 1)]
+        a, z = self.w.first[line], self.w.first[line + 1]
+        ok = (stop - start >= least) & (stop <= z) & (stop - start < z - a)
+        start, stop, line, a = start[ok], stop[ok], line[ok], a[ok]
+        text = self.lines[line]
+        return text, line - self._base[text], start - a, stop - start, self._classes(start, stop)
+
     def keys(self, chosen: np.ndarray, bands: int, rows: int) -> np.ndarray:
         """Bucket keys of the chosen paragraphs, one column a band."""
         size = np.diff(np.r_[self.starts, len(self.shingles)])[chosen]
@@ -71,6 +91,11 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _among(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted array."""
+    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x if len(of) else np.zeros(len(x), bool)
+
+
 def _compare(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Links of groups that come sorted by gid. A pair is verified only while its two are in different components, so a group of copies of one another costs one comparison each."""
 
@@ -105,10 +130,13 @@ def _compare(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, min_words: int = MIN_WORDS, recall: float = RECALL, block: int = BLOCK, broadcast: int = BROADCAST) -> DataFrame:
-    """A row for each paragraph that repeats: (doc_id, paragraph, n_words, cluster_doc_id, cluster_paragraph, members, removed).
+def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, min_words: int = MIN_WORDS, recall: float = RECALL, block: int = BLOCK, broadcast: int = BROADCAST, passage: int = PASSAGE) -> DataFrame:
+    """A row for each paragraph or passage that repeats: (doc_id, paragraph, first_word, n_words, cluster_doc_id, cluster_paragraph, members, removed).
 
-    A paragraph is a line with min_words words (runs of letters and digits, A-Z in lower case) at least. Equal ones are
+    A paragraph is a line with min_words words (runs of letters and digits, A-Z in lower case) at least. A passage is a
+    run of whole sentences inside a line: from the start of each sentence the fewest with `passage` words; passages
+    repeat only if their words are equal to another passage's or paragraph's, and those of a line that has a row have
+    none. first_word is 0 for a paragraph. Equal ones are
     one class; classes link if the Jaccard similarity of their sets of `shingle`-word shingles is `threshold` or more, and
     clusters are the components of links. The first member (least doc_id, then place) stays and names the cluster; the
     others are marked removed. Paragraphs that repeat nowhere have no row.
@@ -143,10 +171,23 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 keys = p.keys(chosen, bands, ROWS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel()), pa.array(np.tile(p.cls[chosen], bands)), pa.array(np.repeat((np.arange(bands) >= FIRST).astype(np.int32), len(chosen)))], names=["key", "cls", "late"])
 
+    def passed(picked) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, most=1 << 20):
+                found = Paragraphs(texts(b), shingle, min_words).passages(passage)
+                if picked is not None:
+                    ok = _among(found[4], picked.value)
+                    found = tuple(x[ok] for x in found)
+                text, place, first, n, cls = found
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(text)), pa.array(place.astype(np.int32)), pa.array(first.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(cls)], names=["doc_id", "paragraph", "first_word", "n_words", "cls"])
+
+        return run
+
+    schema = "doc_id long, paragraph int, first_word long, n_words long, cls long"
     members = durable(mapped(few, listed, "doc_id long, paragraph int, n_words long, cls long"))
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = mapped(few, banded, "key long, cls long, late int").repartition(parts, "key")
-    several = dealt.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
+    several = dealt.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.max("late").alias("l")).where("lo <> hi and l >= 0").select("key")
     met = durable(dealt.join(several, "key").distinct())
     wanted = met.select("cls").distinct()
     few_enough = wanted.count() <= broadcast
@@ -158,8 +199,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             p = Paragraphs(texts(b), shingle, min_words)
             chosen = fresh(p, seen)
             if picked.value is not None and len(chosen):
-                at = np.minimum(np.searchsorted(picked.value, p.cls[chosen]), len(picked.value) - 1)
-                chosen = chosen[picked.value[at] == p.cls[chosen]] if len(picked.value) else chosen[:0]
+                chosen = chosen[_among(p.cls[chosen], picked.value)]
             ends = np.r_[p.starts, len(p.shingles)]
             found = [np.unique(p.shingles[ends[k] : ends[k + 1]]).tobytes() for k in chosen.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(p.cls[chosen]), pa.array(found, pa.binary())], names=["cls", "shingles"])
@@ -178,12 +218,25 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         edges = new if edges is None else edges.unionByName(new)
         edges = durable(edges)
         roots = durable(components(edges))
-    classes = members.groupBy("cls").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "paragraph")).alias("head"))
+    # passages: those whose class another passage or paragraph has
+    twice = mapped(few, passed(None), schema).select("cls").unionByName(members.select("cls")).groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
+    twice = durable(twice)
+    few_enough = twice.count() <= broadcast
+    if few_enough:
+        chosen = spark.sparkContext.broadcast(np.sort(twice.toArrow().column("cls").to_numpy()))
+    inner = mapped(few, passed(chosen if few_enough else None), schema)
+    inner = durable(inner if few_enough else inner.join(twice, "cls", "left_semi").select(*inner.columns))
+    every = members.withColumn("first_word", F.lit(0).cast("long")).select(*inner.columns).unionByName(inner)
+    named = F.col("doc_id").isNotNull().alias("named")
+    classes = every.groupBy("cls").agg(F.count("*").alias("copies"), F.min(F.struct(named, "doc_id", "paragraph", "first_word")).alias("head"))
     classes = classes.join(roots, classes.cls == roots.node, "left").select("cls", "copies", "head", F.coalesce("root", "cls").alias("root"))
     clusters = classes.groupBy("root").agg(F.sum("copies").alias("members"), F.min("head").alias("head")).where("members > 1")
-    named = classes.select("cls", "root").join(clusters, "root").select("cls", "members", F.col("head.doc_id").alias("cluster_doc_id"), F.col("head.paragraph").alias("cluster_paragraph"))
-    first = F.col("doc_id").eqNullSafe(F.col("cluster_doc_id")) & (F.col("paragraph") == F.col("cluster_paragraph"))
-    return members.join(named, "cls").select("doc_id", "paragraph", "n_words", "cluster_doc_id", "cluster_paragraph", "members", (~first).alias("removed"))
+    marks = durable(classes.select("cls", "root").join(clusters, "root").select("cls", "members", F.col("head.doc_id").alias("cluster_doc_id"), F.col("head.paragraph").alias("cluster_paragraph"), F.col("head.first_word").alias("_first")))
+    first = F.col("doc_id").eqNullSafe(F.col("cluster_doc_id")) & (F.col("paragraph") == F.col("cluster_paragraph")) & (F.col("first_word") == F.col("_first"))
+    lines = members.join(marks, "cls").withColumn("first_word", F.lit(0).cast("long"))
+    whole = lines.select(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_z"), F.col("paragraph").alias("_p")).distinct()
+    parts_ = inner.join(whole, (F.coalesce("doc_id", F.lit(0)) == F.col("_d")) & (F.col("doc_id").isNull() == F.col("_z")) & (F.col("paragraph") == F.col("_p")), "left_anti").join(marks, "cls")
+    return lines.select(*parts_.columns).unionByName(parts_).select("doc_id", "paragraph", "first_word", "n_words", "cluster_doc_id", "cluster_paragraph", "members", (~first).alias("removed"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
