@@ -104,6 +104,15 @@ def test_insert_select_and_tables(db):
         db.select("SELECT * FROM big")
 
 
+def test_update_from(db):
+    db.execute_batch("INSERT INTO items(name, value) VALUES (?, ?)", [["a", 1], ["b", 2], ["c", 3]])
+    db.execute("CREATE TABLE src(n TEXT, d INTEGER); INSERT INTO src VALUES ('a', 10), ('c', 30), ('c', 31)")
+    assert db.execute("UPDATE items SET value = value + s.d FROM src s WHERE s.n = items.name AND s.d < ?", [100]).affected == 2
+    assert [r["value"] for r in db.select("SELECT value FROM items ORDER BY id")] == [11, 2, 33]
+    db.execute("WITH w AS (SELECT value AS v FROM json_each(?)) INSERT INTO items(name, value) SELECT json_extract(v, '$[0]'), CAST(json_extract(v, '$[1]') AS INTEGER) FROM w RETURNING id", ['[["x", 7]]'])
+    assert db.select("SELECT name, value FROM items WHERE id IN (SELECT value FROM json_each(?))", ["[4]"])[0].values() == ("x", 7)
+
+
 def test_only_touched_files_are_written_again(db):
     for k in range(3):
         db.execute("INSERT INTO items(name, value) VALUES (?, ?)", [f"n{k}", k])

@@ -272,20 +272,33 @@ def _marked(cx: Context, t: Table, files: tuple[str, ...], where: list[Token], a
 
 
 def update(cx: Context, b: Bound) -> tuple[Table, WriteResult, bool]:
-    """UPDATE t SET column = expression, ... [WHERE condition]."""
+    """UPDATE t SET column = expression, ... [FROM source] [WHERE condition]."""
     ts = b.ts
     t, set_, where = _target(cx, ts[1]), find(ts, "SET"), find(ts, "WHERE")
     if not t.files:
         return t, WriteResult(), False
-    sets = {}
-    for part in parted(ts[set_ + 1 : where if where > 0 else len(ts)]):
+    sets, end = {}, where if where > 0 else len(ts)
+    source = find(ts[:end], "FROM")
+    for part in parted(ts[set_ + 1 : source if source > 0 else end]):
         c = t.column(name_of(part[0]))
         if not c:
             raise QueryError(f"no such column: {name_of(part[0])}", cx.sql)
         sets[c.name] = part[2:]
+    key = (t.rowid,) if t.rowid else next(iter(t.uniques), ())
+    if source > 0 and (not key or set(key) & set(sets)):
+        raise QueryError("UPDATE ... FROM needs a key that it doesn't change", cx.sql)
     exprs = [f"CASE WHEN _tq_hit THEN CAST({text_of(dialect(sets[c.name]))} AS {c.type}) ELSE `{c.name}` END AS `{c.name}`" if c.name in sets else f"`{c.name}`" for c in t.columns]
 
     def changed(files: tuple[str, ...]) -> DataFrame:
+        if source > 0:
+            _filed(cx, t, files).createOrReplaceTempView("_tq_target")
+            cond = f" WHERE {text_of(dialect(ts[where + 1 :]))}" if where > 0 else ""
+            to = list(sets)
+            found = [f"CAST({text_of(dialect(sets[c]))} AS {t.column(c).type}) AS _v{k}" for k, c in enumerate(to)]
+            met = cx.session.sql(f"SELECT {', '.join(f'`{t.name}`.`{c}` AS `{c}`' for c in key)}, {', '.join(found)} FROM _tq_target AS `{t.name}` CROSS JOIN {text_of(dialect(ts[source + 1 : end]))}{cond}", args=b.args)
+            one = met.groupBy(*(F.col(f"`{c}`") for c in key)).agg(F.min(F.struct(*(f"_v{k}" for k in range(len(to))))).alias("_tq_v"))
+            rows = _filed(cx, t, files).join(one, list(key), "left").withColumn("_tq_hit", F.col("_tq_v").isNotNull())
+            return rows.select("_tq_file", "_tq_hit", *(F.when(F.col("_tq_hit"), F.col(f"_tq_v._v{to.index(c.name)}")).otherwise(F.col(f"`{c.name}`")).alias(c.name) if c.name in sets else F.col(f"`{c.name}`") for c in t.columns))
         _marked(cx, t, files, ts[where + 1 :] if where > 0 else [], b.args).createOrReplaceTempView("_tq_marked")
         return cx.session.sql(f"SELECT _tq_file, _tq_hit, {', '.join(exprs)} FROM _tq_marked AS `{t.name}`", args=b.args)
 
