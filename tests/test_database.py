@@ -221,6 +221,18 @@ def test_live_queries(db):
     assert list(last) == []
 
 
+def test_large_results_are_compared_on_the_cluster(db, monkeypatch):
+    monkeypatch.setattr("tidequery.database.LARGE", 3)
+    db.execute_batch("INSERT INTO items(name, value) VALUES (?, ?)", [[f"n{i}", i] for i in range(9)])
+    s = db.stream("SELECT value FROM items")
+    assert len(s.get(60)) == 9
+    db.execute("UPDATE items SET value = value")
+    db.await_idle()
+    assert db.streams.suppressed == 1 and not s.pending()
+    db.execute("UPDATE items SET value = 100 WHERE id = 1")
+    assert sum(r["value"] for r in s.get(60)) == 136
+
+
 def test_bursts_end_with_the_latest_state(db):
     s = db.stream("SELECT COUNT(*) AS c FROM items")
     for i in range(6):
