@@ -90,3 +90,29 @@ def test_passages_inside_of_lines(spark):
         assert at[2, 0, 30].n_words == 51 and at[2, 0, 30].members == 8 and at[1, 0, 0].n_words == 51
         assert at[5, 0, 0].n_words == 111 and (5, 0, 7) not in at and not at[5, 0, 0].removed and at[7, 1, 0].removed
         assert sum(not x.removed and x.cluster_doc_id == x.doc_id and x.n_words == 51 and x.first_word in (0, 20) for x in got) == 1
+
+
+def test_passages_over_lines_and_sentences_match_brute_force(spark):
+    r = random.Random(5)
+    some = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    shared, docs = [some(n) for n in (51, 60, 90, 140)], []
+    for i in range(24):
+        x = some(r.randint(5, 80))
+        for _ in range(r.randint(0, 2)):
+            p = r.choice(shared)
+            x += p[r.choice([0, 0, 20]) :] + some(r.randint(1, 40))
+        ends = [r.choice([" ", " ", " ", "\n", ". "]) if k % 8 else "\n" for k in range(len(x))]
+        docs.append((i, x, "".join(a + b for a, b in zip(x, ends, strict=True))))
+    at = {}
+    for i, x, _ in docs:
+        for k in range(len(x) - 49):
+            at.setdefault(tuple(x[k : k + 50]), []).append((i, k))
+    want = {(i, k + j) for own in at.values() if len(own) > 1 for i, k in own for j in range(50)}
+    got = set()
+    for x in pd.repeated_paragraphs(spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id long, text string")).collect():
+        own, text = docs[x.doc_id][1:]
+        start = len(words("\n".join(text.split("\n")[: x.paragraph]))) + x.first_word
+        got |= {(x.doc_id, start + k) for k in range(x.n_words)}
+        copies = sorted(c for c in at[tuple(own[start : start + 50])] if docs[c[0]][1][c[1] : c[1] + x.n_words] == own[start : start + x.n_words])
+        assert x.members == len(copies) > 1 and x.cluster_doc_id == copies[0][0] and x.removed == ((x.doc_id, start) != copies[0])
+    assert got == want and len(want) > 500
