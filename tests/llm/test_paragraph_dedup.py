@@ -116,3 +116,14 @@ def test_passages_over_lines_and_sentences_match_brute_force(spark):
         copies = sorted(c for c in at[tuple(own[start : start + 50])] if docs[c[0]][1][c[1] : c[1] + x.n_words] == own[start : start + x.n_words])
         assert x.members == len(copies) > 1 and x.cluster_doc_id == copies[0][0] and x.removed == ((x.doc_id, start) != copies[0])
     assert got == want and len(want) > 500
+
+
+def test_a_kept_line_has_its_passages(spark):
+    r = random.Random(6)
+    some = lambda n: " ".join(f"w{r.randint(0, 10**9)}" for _ in range(n))
+    p = some(60) + "."
+    line = f"{some(30)}. {p} {some(40)}."
+    df = spark.createDataFrame([(1, f"{some(70)}. {p} {some(50)}."), (5, line), (9, line)], "doc_id long, text string")
+    got = {(x.doc_id, x.first_word, x.n_words): (x.cluster_doc_id, x.members, x.removed) for x in pd.repeated_paragraphs(df).collect()}
+    assert got[1, 70, 60] == (1, 3, False) and got[5, 30, 60] == (1, 3, True)
+    assert got[5, 0, 130] == (5, 2, False) and got[9, 0, 130] == (5, 2, True) and (9, 30, 60) not in got

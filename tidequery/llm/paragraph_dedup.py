@@ -267,7 +267,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     longest run of `passage` words at least, wherever it starts and over line ends too, that occurs again with equal
     words; where a run's copies go different ways it is cut, and its parts overlap by passage - 1 words. paragraph and
     first_word are the line and the place in it where it starts; n_words counts on over line ends. first_word is 0 for a
-    paragraph. A passage inside a line that has a row has none; one that is a whole paragraph is that
+    paragraph. A passage inside a line that is marked removed has no row; one that is a whole paragraph is that
     paragraph. Of copies that overlap in a text the first counts. Equal ones are
     one class; paragraphs link if the Jaccard similarity of their sets of `shingle`-word shingles is `threshold` or more,
     and clusters are the components of links. The first member (least doc_id, then place) stays and names the cluster; the
@@ -351,9 +351,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marks = durable(classes.select("cls", "root").join(clusters, "root").select("cls", "members", F.col("head.doc_id").alias("cluster_doc_id"), F.col("head.paragraph").alias("cluster_paragraph"), F.col("head.first_word").alias("_first")))
     first = F.col("doc_id").eqNullSafe(F.col("cluster_doc_id")) & (F.col("paragraph") == F.col("cluster_paragraph")) & (F.col("first_word") == F.col("_first"))
     lines = members.join(marks, "cls").withColumn("first_word", F.lit(0).cast("long"))
-    whole = lines.select(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_z"), F.col("paragraph").alias("_p")).distinct()
+    whole = lines.where(~first).select(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_z"), F.col("paragraph").alias("_p")).distinct()
     parts_ = inner.join(whole, F.col("inside") & (F.coalesce("doc_id", F.lit(0)) == F.col("_d")) & (F.col("doc_id").isNull() == F.col("_z")) & (F.col("paragraph") == F.col("_p")), "left_anti").join(marks, "cls").drop("inside")
-    return lines.select(*parts_.columns).unionByName(parts_).select("doc_id", "paragraph", "first_word", "n_words", "cluster_doc_id", "cluster_paragraph", "members", (~first).alias("removed"))
+    return parts_.unionByName(lines.select(*parts_.columns)).select("doc_id", "paragraph", "first_word", "n_words", "cluster_doc_id", "cluster_paragraph", "members", (~first).alias("removed"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
