@@ -47,7 +47,7 @@ def docs(spark):
 
 
 def test_both_fits_and_the_draw(docs):
-    a = mixing.mixed(docs).collect()
+    a = mixing.mixed(docs, rounds=4).collect()
     full = mixing.mixed(docs, rate=1.0)
     cells = {(r.source, r.lang, r._topic): r._p for r in a}
     tokens = {}
@@ -58,12 +58,33 @@ def test_both_fits_and_the_draw(docs):
             assert r._tokens == 1
     want = sorted((r.doc_id if r.doc_id is not None else -1) for r in full.collect() if draw(r.doc_id) < cells.get((r.source, r.lang, r._topic), 0))
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in a) == want
-    b = {(r.source, r.lang, r._topic): r._p for r in mixing.mixed(docs, driver_cells=0).collect()}
+    b = {(r.source, r.lang, r._topic): r._p for r in mixing.mixed(docs, driver_cells=0, rounds=4).collect()}
     for k in cells.keys() & b.keys():
-        assert cells[k] == pytest.approx(b[k], abs=1e-3)
+        assert cells[k] == pytest.approx(b[k], abs=1e-6)
+    assert cells.keys() == b.keys()
 
 
 def test_given_targets(docs):
-    got = mixing.mixed(docs, targets={"lang": {"de": 1.0}}).collect()
-    assert got and {r.lang for r in got} == {"de"}
-    assert mixing.mixed(docs.limit(0)).count() == 0
+    got = mixing.mixed(docs, targets={"lang": {"de": 1.0}}, rounds=3).collect()
+    assert got and {r.lang for r in got} == {"de"} and all(r._p == 1 for r in got)
+    table = mixing.mixed(docs, targets={"lang": {"de": 1.0}}, rounds=3, driver_cells=0).collect()
+    assert sorted(r.doc_id for r in table) == sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.where("lang = 'de'").collect())
+    assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0), driver_cells=-1).count() == 0
+
+
+def test_names_that_clash_and_columns_of_its_own(docs):
+    plain = mixing.mixed(docs)
+    odd = docs.selectExpr("*", "1 as _topic", "2 as _tokens", "3 as _weight", "4 as _P", "5 as topic", "6 as __k_lang", "7 as k_source")
+    got = mixing.mixed(odd)
+    assert got.columns[:-4] == odd.columns and len({c.lower() for c in got.columns}) == len(got.columns)
+    assert sorted(tuple(r) for r in got.select(*got.columns[-4:]).collect()) == sorted(tuple(r) for r in plain.select(*plain.columns[-4:]).collect())
+    own = mixing.mixed(odd, topic="topic", tokens="tokens").collect()
+    assert {r[-4] for r in own} == {5} and {r[-3] for r in own} == {1}
+
+
+def test_calibrated_without_weight():
+    t = np.array([10.0, 20, 30])
+    assert mixing.calibrated(t, np.array([0.0, 1, 0]), 0.5).tolist() == [0, 1, 0]
+    assert mixing.calibrated(t, np.zeros(3), 0.5).tolist() == [0, 0, 0]
+    with pytest.warns(UserWarning, match="off by"):
+        mixing.rake(t, [np.array([0, 0, 1]), np.array([0, 0, 1])], [np.array([0.9, 0.1]), np.array([0.2, 0.8])], rounds=5)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -18,15 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder for cut lineage: the one that the session names, else one under the warehouse, which executors share too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_tidequery_cut"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder that the session names and read from there; a lost executor loses none of it."""
+    """df, written to the shared folder and read from there; a lost executor loses none of it. It stays dealt as it is."""
     spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tq-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(_shared(spark))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like durable(), as parquet: for loops, where the plans' size estimates would grow with each round, as a checkpoint keeps its plan's."""
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/tidequery_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | object) -> DataFrame:
     """df.mapInArrow(run, schema), where executors get this package's code from the driver, so it needn't be installed there."""
     sc = df.sparkSession.sparkContext

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidequery.llm.common import durable, table
+from tidequery.llm.common import stored, table
 
 #: Exponents that flatten the corpus's own shares into the targets, for each marginal.
 FLATTEN = {"source": 0.7, "lang": 0.5, "topic": 0.7}
@@ -33,7 +35,10 @@ def _targets(sums: dict, power: float) -> dict:
 
 
 def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Fitted weights of cells, with shares of each marginal as in targets: each round scales the cells to one marginal after the other."""
+    """Fitted weights of cells, with shares of each marginal as in targets: each round scales the cells to one marginal after the other.
+
+    A round that changes no factor by `tolerance` ends it; after `rounds` rounds the last weights stand, with a warning.
+    """
     w = cells / cells.sum()
     for _ in range(rounds):
         off = 0.0
@@ -43,22 +48,30 @@ def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
             off = max(off, float(np.abs(factor - 1).max()))
             w = w * factor[code]
         if off < tolerance:
-            break
+            return w
+    warnings.warn(f"the marginals are still off by {off:.2g} after {rounds} rounds", stacklevel=2)
     return w
 
 
 def calibrated(tokens: np.ndarray, fitted: np.ndarray, rate: float) -> np.ndarray:
-    """Probabilities in proportion to fitted / tokens, at most 1, so that the expected tokens are `rate` of all (or all that can be had)."""
+    """Probabilities in proportion to fitted / tokens, at most 1, so that the expected tokens are `rate` of all.
+
+    Cells without weight get 0. If those with weight hold fewer tokens than that, all of theirs are taken.
+    """
     g = np.divide(fitted, tokens, out=np.zeros(len(tokens)), where=tokens > 0)
-    budget, order = rate * tokens.sum(), np.argsort(-g, kind="stable")
+    some = np.flatnonzero(g > 0)
+    order = some[np.argsort(-g[some], kind="stable")]
     t, s = tokens[order], (g * tokens)[order]
-    full, rest = np.r_[0, np.cumsum(t)], np.r_[np.cumsum(s[::-1])[::-1], 0]
-    c = np.divide(budget - full[:-1], rest[:-1], out=np.full(len(t), np.inf), where=rest[:-1] > 0)
+    full, rest = np.cumsum(t) - t, np.cumsum(s[::-1])[::-1]
+    c = (rate * tokens.sum() - full) / rest
     fits = np.flatnonzero(c * g[order] <= 1)
-    return np.minimum(1, (c[fits[0]] if len(fits) else np.inf) * g) if g.any() else g
+    p = np.minimum(1.0, c[fits[0]] * g) if len(fits) else (g > 0).astype(float)
+    if not np.isfinite(p).all():
+        raise ValueError("probabilities are not finite")
+    return p
 
 
-def _fit_on_driver(cells: DataFrame, dims: list[str], powers: dict[str, float], targets: dict[str, dict] | None, rate: float) -> DataFrame:
+def _fit_on_driver(cells: DataFrame, dims: list[str], powers: dict[str, float], targets: dict[str, dict] | None, rate: float, rounds: int = ROUNDS) -> DataFrame:
     rows = cells.orderBy(*dims).toArrow()
     tokens = rows.column("tokens").to_numpy().astype(float)
     codes, wanted = [], []
@@ -68,46 +81,48 @@ def _fit_on_driver(cells: DataFrame, dims: list[str], powers: dict[str, float],
         goal = (targets or {}).get(d) or _targets(sums, powers[d])
         codes.append(code)
         wanted.append(np.array([goal.get(k, 0.0) for k in keys.tolist()]))
-    fitted = rake(tokens, codes, [x / max(x.sum(), 1e-300) for x in wanted])
+    fitted = rake(tokens, codes, [x / max(x.sum(), 1e-300) for x in wanted], rounds)
     p = calibrated(tokens, fitted, rate)
     out = [(*(rows.column(d)[i].as_py() for d in dims), float(fitted[i] / (tokens[i] / tokens.sum())), float(p[i])) for i in range(len(tokens))]
     return cells.sparkSession.createDataFrame(out, ", ".join([*(f"`{d}` string" for d in dims), "weight double", "p double"]))
 
 
-def _fit_distributed(cells: DataFrame, dims: list[str], powers: dict[str, float], targets: dict[str, dict] | None, rate: float, rounds: int = 40, tolerance: float = 1e-5) -> DataFrame:
-    """The same, with the cells as a table: each round joins the sums of one marginal after the other."""
+def _fit_distributed(cells: DataFrame, dims: list[str], powers: dict[str, float], targets: dict[str, dict] | None, rate: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The same fit with the same rounds and tolerance, with the cells as a table: each marginal's sums are joined back, a round is written and read again."""
     spark = cells.sparkSession
-    total = cells.agg(F.sum("tokens")).first()[0]
-    now, goals = durable(cells.withColumn("w", F.col("tokens") / F.lit(float(total)))), {}
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    now, goals = cells.withColumn("w", F.col("tokens") / F.lit(total)), {}
     for d in dims:
         given = (targets or {}).get(d)
+        goal = cells.groupBy(F.col(d).alias("k")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(powers[d])).alias("t"))
         if given:
-            goal = spark.createDataFrame([(k, float(v)) for k, v in given.items()], "k string, t double")
-            goal = cells.select(F.col(d).alias("k")).distinct().join(goal, "k", "left").fillna(0.0, ["t"])
-        else:
-            goal = cells.groupBy(F.col(d).alias("k")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(powers[d])).alias("t"))
-        goal = durable(goal)
+            named = spark.createDataFrame([(k, float(v)) for k, v in given.items()], "k string, t double")
+            goal = goal.select("k").join(named, "k", "left").fillna(0.0, ["t"])
+        goal = stored(goal)
         goals[d] = goal.withColumn("t", F.col("t") / F.lit(goal.agg(F.sum("t")).first()[0] or 1.0))
+    worst = None
     for _ in range(rounds):
-        off = F.lit(0.0)
+        now = now.withColumn("off", F.lit(0.0))
         for d in dims:
             have = now.groupBy(F.col(d).alias("k")).agg(F.sum("w").alias("have")).join(goals[d], "k").select("k", F.when(F.col("have") > 0, F.col("t") / F.col("have")).otherwise(1.0).alias("f"))
-            now = now.join(have, F.col(d) == F.col("k")).drop("k").withColumn("w", F.col("w") * F.col("f")).withColumn(f"off_{d}", F.abs(F.col("f") - 1)).drop("f")
-            off = F.greatest(off, F.col(f"off_{d}"))
-        now = durable(now.withColumn("off", off))
+            now = now.join(have, F.col(d) == F.col("k")).select(*dims, "tokens", (F.col("w") * F.col("f")).alias("w"), F.greatest("off", F.abs(F.col("f") - 1)).alias("off"))
+        now = stored(now)
         worst = now.agg(F.max("off")).first()[0]
-        now = now.drop("off", *(f"off_{d}" for d in dims))
+        now = now.drop("off")
         if worst is None or worst < tolerance:
             break
-    now, c, budget = durable(now.withColumn("g", F.col("w") / F.col("tokens"))), 0.0, rate * float(total or 0)
-    for _ in range(rounds):
+    else:
+        warnings.warn(f"the marginals are still off by {worst:.2g} after {rounds} rounds", stacklevel=2)
+    now, c, budget = now.withColumn("g", F.col("w") / F.col("tokens")), 0.0, rate * total
+    while True:
         capped = F.lit(c) * F.col("g") >= 1
-        full, rest = now.agg(F.sum(F.when(capped, F.col("tokens"))), F.sum(F.when(~capped, F.col("w")))).first()
+        full, rest = now.where("g > 0").agg(F.sum(F.when(capped, F.col("tokens"))), F.sum(F.when(~capped, F.col("w")))).first()
         new = (budget - (full or 0)) / rest if rest else c
-        if new <= c:
+        if new <= c * (1 + 1e-15):
             break
         c = new
-    return now.select(*dims, (F.col("w") / (F.col("tokens") / F.lit(float(total or 1)))).alias("weight"), F.least(F.lit(1.0), F.lit(c) * F.col("g")).alias("p"))
+    p = F.when(F.col("g") > 0, F.least(F.lit(1.0), F.lit(c) * F.col("g")) if rest else F.lit(1.0)).otherwise(0.0)
+    return now.select(*dims, (F.col("w") / (F.col("tokens") / F.lit(total or 1.0))).alias("weight"), p.alias("p"))
 
 
 def uniform(id_col: str, seed: int = SEED) -> Column:
@@ -115,29 +130,36 @@ def uniform(id_col: str, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("long")), 11) / F.lit(float(1 << 53))
 
 
-def mixed(docs: DataFrame, flatten: dict[str, float] | None = None, targets: dict[str, dict] | None = None, rate: float = RATE, topic: str = TOPIC, tokens: str = TOKENS, seed: int = SEED, id_col: str = "doc_id", driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """The sampled rows of docs with all their columns and _topic, _tokens, _weight, _p.
+def mixed(docs: DataFrame, flatten: dict[str, float] | None = None, targets: dict[str, dict] | None = None, rate: float = RATE, topic: str = TOPIC, tokens: str = TOKENS, seed: int = SEED, id_col: str = "doc_id", driver_cells: int = DRIVER_CELLS, rounds: int = ROUNDS) -> DataFrame:
+    """The sampled rows of docs with all their columns and four more at the end: _topic, _tokens, _weight, _p.
 
-    The cells are the combinations of source, lang and topic. Their token sums are raked to marginals: those in `targets`
+    topic and tokens are SQL expressions over docs; a table that has them gives its own columns. The cells are the
+    combinations of source, lang and topic. Their token sums are raked to marginals: those in `targets`
     (dimension to value to share; a value not named gets 0), else the corpus's own, flattened by a power. _weight: fitted
     share of a cell over its own share. _p: a row's probability, the same for all of a cell, in proportion to _weight, at
-    most 1, with `rate` of all tokens expected. Up to driver_cells cells are fitted in the driver, more as a table.
-    Null values of source and lang are a category each; a null or empty text has one token. Rows of equal id share their
-    draw; null ids share one. An empty table gives an empty result.
+    most 1, with `rate` of all tokens expected (or all tokens of the cells with weight, if they hold fewer). Up to
+    driver_cells cells are fitted in the driver, more as a table, with the same rounds and tolerance.
+    Null values of source, lang and topic are a category each; a null or empty text has one token. Rows of equal id share
+    their draw; null ids share one. Where docs has a column of an added name, all four start with one more underscore
+    than any column. An empty table gives an empty result.
     """
     dims, names = ["source", "lang", "topic"], docs.columns
-    part = {"_k_source": F.coalesce(F.col("source").cast("string"), F.lit(_NULL)), "_k_lang": F.coalesce(F.col("lang").cast("string"), F.lit(_NULL)), "_k_topic": F.expr(topic), "_topic": F.expr(topic), "_tokens": F.expr(tokens)}
-    named = docs.withColumns(part)
-    cells = durable(named.groupBy(*(F.col(f"_k_{d}").alias(d) for d in dims)).agg(F.sum("_tokens").alias("tokens")))
+    mark = "_"
+    if {f"_{x}" for x in ("topic", "tokens", "weight", "p")} & {n.lower() for n in names}:
+        mark = "_" * (1 + max(len(n) - len(n.lstrip("_")) for n in names))
+    inner = mark + "_" * (1 + max(map(len, names)))  # starts no column's name
+    whole = {d: F.coalesce(F.col(f"`{d}`").cast("string"), F.lit(_NULL)) for d in dims[:2]} | {"topic": F.coalesce(F.expr(topic).cast("string"), F.lit(_NULL))}
+    named = docs.select(*(F.col(f"`{n}`") for n in names), F.expr(topic).alias(f"{mark}topic"), F.expr(tokens).cast("long").alias(f"{mark}tokens"), *(c.alias(f"{inner}k_{d}") for d, c in whole.items()))
+    cells = stored(named.groupBy(*(F.col(f"{inner}k_{d}").alias(d) for d in dims)).agg(F.sum(f"{mark}tokens").alias("tokens")))
     n, powers = cells.count(), flatten or FLATTEN
     if n <= driver_cells:
-        fitted = F.broadcast(_fit_on_driver(cells, dims, powers, targets, rate)) if n else cells.select(*dims, F.lit(0.0).alias("weight"), F.lit(0.0).alias("p"))
+        fitted = F.broadcast(_fit_on_driver(cells, dims, powers, targets, rate, rounds)) if n else cells.select(*dims, F.lit(0.0).alias("weight"), F.lit(0.0).alias("p"))
     else:
-        fitted = durable(_fit_distributed(cells, dims, powers, targets, rate))
-    fitted = fitted.select(*(F.col(d).alias(f"_f_{d}") for d in dims), F.col("weight").alias("_weight"), F.col("p").alias("_p"))
-    on = [F.col(f"_k_{d}") == F.col(f"_f_{d}") for d in dims]
-    drawn = named.join(fitted, on).where(uniform(id_col, seed) < F.col("_p"))
-    return drawn.select(*(F.col(f"`{n}`") for n in names), "_topic", "_tokens", "_weight", "_p")
+        fitted = stored(_fit_distributed(cells, dims, powers, targets, rate, rounds))
+    fitted = fitted.select(*(F.col(d).alias(f"{inner}f_{d}") for d in dims), F.col("weight").alias(f"{mark}weight"), F.col("p").alias(f"{mark}p"))
+    on = [F.col(f"{inner}k_{d}") == F.col(f"{inner}f_{d}") for d in dims]
+    drawn = named.join(fitted, on).where(uniform(id_col, seed) < F.col(f"{mark}p"))
+    return drawn.select(*(F.col(f"`{n}`") for n in names), *(f"{mark}{x}" for x in ("topic", "tokens", "weight", "p")))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
