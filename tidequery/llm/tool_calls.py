@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidequery.llm.common import durable, mapped, slices, table
+from tidequery.llm.common import durable, mapped, slices, stored, table
 
 #: JSON types of a schema's fields and the Python types they take.
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
@@ -51,24 +52,92 @@ def canonical(value: object) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+#: Schema keywords that are checked, and those that only describe.
+_CHECKED = {"type", "enum", "const", "properties", "required", "additionalProperties", "items", "minItems", "maxItems", "minLength", "maxLength", "pattern", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "anyOf", "allOf", "oneOf", "not"}
+_TOLD = {"title", "description", "default", "examples", "$schema", "$id", "$comment"}
+
+
+def known(schema: object, at: str = "schema") -> None:
+    """ValueError for a schema with keywords, types or patterns that violations() doesn't know."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict) or (odd := sorted(set(schema) - _CHECKED - _TOLD)):
+        raise ValueError(f"{at}: {', '.join(odd) if isinstance(schema, dict) else 'no object'} isn't known")
+    kinds = schema.get("type", [])
+    if bad := [k for k in (kinds if isinstance(kinds, list) else [kinds]) if k not in (*_TYPES, "null")]:
+        raise ValueError(f"{at}: type {bad[0]} isn't known")
+    re.compile(schema.get("pattern", ""))
+    for k in ("anyOf", "allOf", "oneOf"):
+        for n, x in enumerate(schema.get(k, [])):
+            known(x, f"{at}.{k}[{n}]")
+    for k in ("additionalProperties", "items", "not"):
+        known(schema.get(k, True), f"{at}.{k}")
+    for k, x in schema.get("properties", {}).items():
+        known(x, f"{at}.{k}")
+
+
+def _is(v: object, kind: str) -> bool:
+    if kind in ("integer", "number") and isinstance(v, bool):
+        return False
+    if kind == "integer" and isinstance(v, float):
+        return v.is_integer()
+    return v is None if kind == "null" else isinstance(v, _TYPES[kind])
+
+
+def _same(a: object, b: object) -> bool:
+    return canonical(a) == canonical(b)
+
+
+def _wrong(v: object, schema: object, at: str) -> Iterator[str]:
+    """What of a schema a value violates; `at` names the value."""
+    me = at or "arguments"
+    if isinstance(schema, bool):
+        if not schema:
+            yield f"{me} isn't allowed"
+        return
+    kinds = schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(v, k) for k in kinds):
+        yield f"{me} is no {' or '.join(kinds)}"
+        return
+    if ("enum" in schema and not any(_same(v, x) for x in schema["enum"])) or ("const" in schema and not _same(v, schema["const"])):
+        yield f"{me} is none of its values"
+    if isinstance(v, dict):
+        fields, more = schema.get("properties", {}), schema.get("additionalProperties", True)
+        inner = lambda k: f"{at}.{k}" if at else k
+        yield from (f"missing {inner(k)}" for k in schema.get("required", []) if k not in v)
+        for k, x in v.items():
+            if k in fields:
+                yield from _wrong(x, fields[k], inner(k))
+            elif more is False:
+                yield f"unexpected {inner(k)}"
+            else:
+                yield from _wrong(x, more, inner(k))
+    if isinstance(v, list):
+        for k, x in enumerate(v):
+            yield from _wrong(x, schema.get("items", True), f"{at}[{k}]")
+    if isinstance(v, (str, list)):
+        low, high = ("minLength", "maxLength") if isinstance(v, str) else ("minItems", "maxItems")
+        if not schema.get(low, 0) <= len(v) <= schema.get(high, math.inf):
+            yield f"{me} has a wrong length"
+        if isinstance(v, str) and not re.search(schema.get("pattern", ""), v):
+            yield f"{me} doesn't match"
+    if _is(v, "number") and not (schema.get("minimum", -math.inf) <= v <= schema.get("maximum", math.inf) and ("exclusiveMinimum" not in schema or v > schema["exclusiveMinimum"]) and ("exclusiveMaximum" not in schema or v < schema["exclusiveMaximum"])):
+        yield f"{me} is out of range"
+    fits = lambda x: not any(_wrong(v, x, at))
+    for x in schema.get("allOf", []):
+        yield from _wrong(v, x, at)
+    if ("anyOf" in schema and not any(map(fits, schema["anyOf"]))) or ("oneOf" in schema and sum(map(fits, schema["oneOf"])) != 1) or ("not" in schema and fits(schema["not"])):
+        yield f"{me} doesn't fit"
+
+
 def violations(value: object, schema: dict | None) -> list[str]:
-    """What of a schema {"properties": {name: {"type", "enum"}}, "required": [...], "additionalProperties"} a value violates; sorted."""
+    """What of a tool's schema its arguments violate; sorted. The keywords are those of JSON Schema named above, at any depth; arguments are an object."""
     if schema is None:
         return ["unknown tool"]
     if not isinstance(value, dict):
         return ["arguments are no object"]
-    fields = schema.get("properties", {})
-    out = [f"missing {k}" for k in schema.get("required", []) if k not in value]
-    for k, v in value.items():
-        if k not in fields:
-            out += [f"unexpected {k}"] if schema.get("additionalProperties") is False else []
-            continue
-        kind = fields[k].get("type")
-        if kind and (not isinstance(v, _TYPES[kind]) or isinstance(v, bool) != (kind == "boolean")):
-            out.append(f"{k} is no {kind}")
-        elif "enum" in fields[k] and v not in fields[k]["enum"]:
-            out.append(f"{k} is none of its values")
-    return sorted(out)
+    return sorted(set(_wrong(value, schema, "")))
 
 
 def depths(calls: DataFrame) -> DataFrame:
@@ -76,55 +145,68 @@ def depths(calls: DataFrame) -> DataFrame:
 
     Pointers are doubled, so a chain of n calls takes log2 n rounds of one join; a conversation is never in one task.
     """
-    now = durable(calls.select("conv", "id", F.col("parent").alias("ptr"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("d")))
+    now = stored(calls.select("conv", "id", F.col("parent").alias("ptr"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("d")))
     longest = now.groupBy("conv").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     for _ in range(max(1, int(longest).bit_length() + 1)):
         if now.where("ptr is not null").isEmpty():
             break
         to = now.select(F.col("conv").alias("c2"), F.col("id").alias("i2"), F.col("ptr").alias("p2"), F.col("d").alias("d2"))
         ahead = now.where("ptr is not null").join(to, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("ptr") == F.col("i2")), "left")
-        now = durable(now.where("ptr is null").unionByName(ahead.select("conv", "id", F.col("p2").alias("ptr"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"))))
+        now = stored(now.where("ptr is null").unionByName(ahead.select("conv", "id", F.col("p2").alias("ptr"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"))))
     return now.select("conv", "id", F.when(F.col("ptr").isNull(), F.col("d")).alias("depth"))
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """A row for each call: (conv, turn, id, name, depth, result_turn, status, valid, errors, message).
 
-    calls (conv, turn, id, name, arguments, parent), results (conv, turn, id, content). Calls meet results by (conv, id).
-    Of calls with the same id the one of the least turn (then name and arguments) is linked, the others have status
-    `duplicate`; of results of a call the one of the least turn (then content) counts, and results of no call are left
-    out. status: `no id`; `duplicate`; `cycle` on or behind a cycle of parents; `no parent` if the parent isn't there (its
-    depth is 0); `no result`; `early result` if its turn isn't after the call's; else `ok`. depth orders calls
-    topologically: a parent's is smaller (then turn, then id). message: canonical JSON of id, name, arguments, result and
-    parent; null if the arguments aren't JSON. Null conversations are one. Empty tables give an empty result.
+    calls (conv, turn, id, name, arguments, parent), results (conv, turn, id, content); other columns are ignored. Calls
+    meet results by (conv, id). Of calls with the same id the one of the least turn (then name, then digest of the
+    arguments) is linked, the others have status `duplicate`; of results of a call the one of the least turn (then digest
+    of the content) counts, and results of no call are left out. status: `no id`; `duplicate`; `cycle` on or behind a
+    cycle of parents; `no parent` if the parent isn't there (its depth is 0); `no result`; `early result` if its turn
+    isn't after the call's; else `ok`. depth orders calls topologically: a parent's is smaller (then turn, then id).
+    message: canonical JSON of id, name, arguments, result and parent; null if the arguments aren't JSON, or hold half of
+    a character pair, which no text can. Null conversations are one. A schema with unknown keywords is a ValueError.
+    Empty tables give an empty result. Texts of any length are fine: ids are linked and ordered without arguments and
+    contents, which join at the end, and are handled in batches of bounded size.
     """
+    for name, schema in schemas.items():
+        known(schema, name)
+    key = lambda i: F.xxhash64(F.col("conv").cast("string"), i)
     base = calls.select("conv", F.col("turn").cast("long").alias("turn"), F.col("id").cast("string").alias("id"), "name", "arguments", F.col("parent").cast("string").alias("parent"))
-    base = durable(base.groupBy(*base.columns).agg(F.count("*").cast("int").alias("copies")))
-    body = F.struct("turn", "name", "arguments", "parent")
-    first = base.where("id is not null").groupBy("conv", "id").agg(F.min(body).alias("b")).select("conv", "id", "b.*")
-    there = first.select(F.col("conv").alias("c2"), F.col("id").alias("i2"))
-    known = durable(first.join(there, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("parent") == F.col("i2")), "left").withColumn("lost", F.col("parent").isNotNull() & F.col("i2").isNull()).drop("c2", "i2"))
-    level = depths(known.select("conv", "id", F.when(~F.col("lost"), F.col("parent")).alias("parent")))
-    level = level.select(F.col("conv").alias("c3"), F.col("id").alias("i3"), "depth")
-    answer = results.where("id is not null").groupBy(F.col("conv").alias("c4"), F.col("id").cast("string").alias("i4")).agg(F.min(F.struct(F.col("turn").cast("long").alias("turn"), "content")).alias("r"))
-    on = lambda c, i: F.col("conv").eqNullSafe(F.col(c)) & (F.col("id") == F.col(i))
-    full = known.join(level, on("c3", "i3")).join(answer, on("c4", "i4"), "left").select("conv", "turn", "id", "name", "arguments", "parent", "lost", "depth", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("result"), F.lit(True).alias("main"), F.lit(1).alias("copies"))
-    same = [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in ("conv", "id", "turn", "name", "arguments", "parent")]
-    mine = first.select(*(F.col(k).alias(f"f_{k}") for k in ("conv", "id", "turn", "name", "arguments", "parent")))
-    rest = base.join(mine, same[0] & same[1] & same[2] & same[3] & same[4] & same[5], "left").withColumn("copies", F.when(F.col("f_id").isNotNull(), F.col("copies") - 1).otherwise(F.col("copies"))).where("copies > 0")
-    rest = rest.select("conv", "turn", "id", "name", "arguments", "parent", F.lit(False).alias("lost"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("long").alias("result_turn"), F.lit(None).cast("string").alias("result"), F.lit(False).alias("main"), "copies")
-    rest = rest.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    status = F.expr("case when id is null then 'no id' when not main then 'duplicate' when depth is null then 'cycle' when lost then 'no parent' when result is null and result_turn is null then 'no result' when not coalesce(result_turn > turn, false) then 'early result' else 'ok' end")
-    rows = full.unionByName(rest).withColumn("status", status).drop("lost", "main", "copies")
+    base = base.withColumn("k", key("id")).withColumn("digest", F.md5(F.col("arguments").cast("binary")))
+    said = results.where("id is not null").select("conv", F.col("turn").cast("long").alias("turn"), F.col("id").cast("string").alias("id"), "content")
+    said = said.select(key("id").alias("k4"), F.col("conv").alias("c4"), F.col("id").alias("i4"), F.col("turn").alias("t4"), F.md5(F.col("content").cast("binary")).alias("d4"), "content")
+    first = base.where("id is not null").groupBy("k", "conv", "id").agg(F.min(F.struct("turn", "name", "digest", "parent")).alias("f"))
+    there = first.select(F.col("k").alias("k2"), F.col("conv").alias("c2"), F.col("id").alias("i2"))
+    first = first.withColumn("pk", key(F.col("f.parent")))
+    on = lambda k, c, i, k2, c2, i2: (F.col(k) == F.col(k2)) & F.col(c).eqNullSafe(F.col(c2)) & (F.col(i) == F.col(i2))
+    found = first.join(there.hint("shuffle_hash"), on("pk", "conv", "f.parent", "k2", "c2", "i2"), "left")
+    found = durable(found.select("k", "conv", "id", "f", (F.col("f.parent").isNotNull() & F.col("i2").isNull()).alias("lost")))
+    level = depths(found.select("conv", "id", F.when(~F.col("lost"), F.col("f.parent")).alias("parent"))).withColumn("k3", key("id"))
+    level = level.select("k3", F.col("conv").alias("c3"), F.col("id").alias("i3"), "depth")
+    answer = said.groupBy("k4", "c4", "i4").agg(F.min(F.struct("t4", "d4")).alias("r"))
+    info = found.join(level.hint("shuffle_hash"), on("k", "conv", "id", "k3", "c3", "i3")).join(answer.hint("shuffle_hash"), on("k", "conv", "id", "k4", "c4", "i4"), "left")
+    info = info.select(F.col("k").alias("k5"), F.col("conv").alias("c5"), F.col("id").alias("i5"), "f", "lost", "depth", "r")
+    bodies = said.groupBy("k4", "c4", "i4", "t4", "d4").agg(F.first("content").alias("result"))
+    info = info.join(bodies, on("k5", "c5", "i5", "k4", "c4", "i4") & F.col("t4").eqNullSafe(F.col("r.t4")) & F.col("d4").eqNullSafe(F.col("r.d4")), "left").drop("k4", "c4", "i4", "t4", "d4")
+    each = base.groupBy("k", "conv", "turn", "id", "name", "parent", "digest").agg(F.first("arguments").alias("arguments"), F.count("*").cast("int").alias("copies"))
+    full = each.join(info, on("k", "conv", "id", "k5", "c5", "i5"), "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    full = full.withColumn("main", F.col("id").isNotNull() & (F.col("copy") == 1) & F.struct("turn", "name", "digest", "parent").eqNullSafe(F.col("f")))
+    mine = lambda c: F.when(F.col("main"), F.col(c))
+    full = full.select("conv", "turn", "id", "name", "arguments", "parent", "main", "lost", mine("depth").alias("depth"), mine("r.t4").alias("result_turn"), mine("result").alias("result"), (F.col("main") & F.col("r").isNotNull()).alias("answered"))
+    status = F.expr("case when id is null then 'no id' when not main then 'duplicate' when depth is null then 'cycle' when lost then 'no parent' when not answered then 'no result' when not coalesce(result_turn > turn, false) then 'early result' else 'ok' end")
+    rows = full.withColumn("status", status).drop("lost", "main", "answered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "arguments"):
+        for b in slices(slices(batches, "arguments"), "result"):
             valid, errors, message = [], [], []
             for i, name, args, result, parent in zip(*(b.column(c).to_pylist() for c in ("id", "name", "arguments", "result", "parent")), strict=True):
                 try:
                     value = parsed(args)
                     wrong = violations(value, schemas.get(name))
                     text = canonical({"id": i, "name": name, "arguments": value, "result": result, "parent": parent})
+                    text.encode()
                 except (ValueError, RecursionError) as e:
                     wrong, text = [f"arguments: {type(e).__name__}"], None
                 valid.append(not wrong)
@@ -145,14 +227,14 @@ SCHEMAS = {
 
 
 def sample_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results made from conversations by rule, as their texts hold none: a user's turn is a call, the next assistant's turn its result; each second call follows the one before; some arguments violate their schema."""
-    named = conversations.select(F.col("conv_id").alias("conv"), F.col("turn"), F.col("role"), F.col("text"))
-    asked = named.where("role = 'user' and turn is not null")
-    search = F.expr("pmod(turn, 4) < 2")
+    """Calls and results made from conversations by rule, as their texts hold none: an assistant's turn is the result of a call in the turn before, each other turn is a call (without id if it has no number) that follows the one two turns before, but for those that start a new chain; some arguments violate their schema."""
+    named = conversations.select(F.col("conv_id").alias("conv"), F.col("turn"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("told"), F.col("text"))
+    asked = named.where("not told")
+    search = F.expr("coalesce(pmod(turn, 4) < 2, true)")
     args = F.when(search, F.to_json(F.struct(F.when(F.length("text") % 7 == 0, F.length("text").cast("string")).otherwise("10").cast("int").alias("limit"), F.when(F.length("text") % 5 != 0, F.col("text")).alias("query"))))
     args = args.otherwise(F.to_json(F.struct(F.when(F.length("text") % 3 == 0, F.lit("lines")).otherwise(F.lit("words")).alias("unit"), F.col("text").alias("query"))))
-    calls = asked.select("conv", "turn", F.expr("'c' || turn").alias("id"), F.when(search, "search").otherwise("count").alias("name"), args.alias("arguments"), F.expr("case when turn >= 2 and pmod(turn, 4) >= 2 then 'c' || (turn - 2) end").alias("parent"))
-    results = named.where("role = 'assistant' and turn is not null").select("conv", "turn", F.expr("'c' || (turn - 1)").alias("id"), F.col("text").alias("content"))
+    calls = asked.select("conv", "turn", F.expr("'c' || turn").alias("id"), F.when(search, "search").otherwise("count").alias("name"), args.alias("arguments"), F.expr("case when turn >= 2 and coalesce(length(text) % 11 > 0, true) then 'c' || (turn - 2) end").alias("parent"))
+    results = named.where("told").select("conv", "turn", F.expr("'c' || (turn - 1)").alias("id"), F.col("text").alias("content"))
     return calls, results
 
 
