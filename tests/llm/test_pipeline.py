@@ -47,7 +47,7 @@ def test_stages_match_brute_force(spark, data):
     often = Counter((x[3], y) for x in s1 if x[3] for y in {z.strip(" ") for z in x[1].split("\n")})
     want = []
     for x in s1:
-        kept = [y for y in x[1].split("\n") if not (x[3] and pages[x[3]] >= 20 and often[x[3], y.strip(" ")] > 0.1 * pages[x[3]])]
+        kept = [y for y in x[1].split("\n") if not (x[3] and often[x[3], y.strip(" ")] >= 3 and often[x[3], y.strip(" ")] > 0.1 * pages[x[3]])]
         t = "\n".join(kept)
         want.append((x[0], t, x[2], x[3], len(t)))
     assert s2 == sorted(want) and s2 != sorted(s1)

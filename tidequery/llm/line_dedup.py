@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidequery.llm.common import durable, table
 
-#: A line is boilerplate if over this share of its host's pages contain it; hosts with fewer pages than MIN_PAGES aren't judged.
-RATIO, MIN_PAGES = 0.1, 20
+#: A line is boilerplate if over this share of its host's pages contain it, and MIN_COPIES pages at least.
+RATIO, MIN_COPIES = 0.1, 3
 #: Line digests that are broadcast (16 bytes each and some); more are joined by host and a salt.
 BROADCAST, SALTS = 200_000, 64
 
@@ -36,30 +36,30 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line).cast("binary")))
 
 
-def boilerplate(pages: DataFrame, host: str, lines: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, lines: str, ratio: float = RATIO, min_copies: int = MIN_COPIES) -> DataFrame:
     """(host, digests): the MD5 of each boilerplate line of a host.
 
     A line counts once a page. The shuffle is by host and line, after adding up in each task; what is left to a host are
     fewer digests than its mean of lines a page divided by the ratio.
     """
     rows = pages.select(F.col(host).alias("host"), F.col(lines).alias("lines")).where("host is not null")
-    total = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    total = rows.groupBy("host").agg(F.count("*").alias("pages"))
     each = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.trim(x)))).alias("line")).where("line <> ''")
-    often = each.groupBy("host", _digest(F.col("line")).alias("d")).agg(F.count("*").alias("n")).where(F.col("n") > int(ratio * min_pages))
+    often = each.groupBy("host", _digest(F.col("line")).alias("d")).agg(F.count("*").alias("n")).where(F.col("n") >= min_copies)
     found = often.join(total, "host").where(F.col("n") > F.lit(float(ratio)) * F.col("pages"))
     return found.groupBy("host").agg(F.collect_list("d").alias("digests"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str, lines: str, kept: str = "kept", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast: int = BROADCAST, salts: int = SALTS) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str, lines: str, kept: str = "kept", ratio: float = RATIO, min_copies: int = MIN_COPIES, broadcast: int = BROADCAST, salts: int = SALTS) -> DataFrame:
     """pages and a column `kept`: its lines without the boilerplate of its host, in order.
 
-    Lines are the same if they are equal after trimming; blank lines always stay. A page without a host (null) and pages
-    of hosts with fewer than min_pages pages keep all lines; a null list stays null. Repeated rows count as pages of
+    Lines are the same if they are equal after trimming; blank lines always stay. A page without a host (null) keeps all
+    lines; a null list stays null. A column of pages that is named like `kept` is replaced. Repeated rows count as pages of
     their own; an empty table gives an empty result. The digests are broadcast if there are at most `broadcast`;
     otherwise pages join them by host and one of `salts` salts, so a host with a third of all pages is spread.
     """
     names = pages.columns
-    found = durable(boilerplate(pages, host, lines, ratio, min_pages))
+    found = durable(boilerplate(pages, host, lines, ratio, min_copies))
     total = found.agg(F.sum(F.size("digests"))).first()[0] or 0
     taken = "_" + max(names, key=len)
     found = found.select(F.col("host").alias(f"{taken}_h"), F.col("digests").alias(f"{taken}_d"))
@@ -71,7 +71,7 @@ def drop_boilerplate(pages: DataFrame, host: str, lines: str, kept: str = "kept"
         spread = F.pmod(F.xxhash64(F.col(lines)), F.lit(salts)).cast("int")
         joined = pages.withColumn(f"{taken}_p", spread).join(found, on & (F.col(f"{taken}_p") == F.col(f"{taken}_s")), "left")
     keep = F.when(F.col(f"{taken}_d").isNull(), F.col(lines)).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(f"{taken}_d"), _digest(x))))
-    return joined.select(*(F.col(f"`{n}`") for n in names), keep.alias(kept))
+    return joined.select(*(F.col(f"`{n}`") for n in names if n.lower() != kept.lower()), keep.alias(kept))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ with p as (
 ), f as (
   select host, line, count(*) as n from (select distinct r, host, unnest(lines) as line from p where host is not null) group by host, line
 ), b as (
-  select f.host, list(line) as bad from f join t on f.host = t.host where t.n >= {MIN_PAGES} and f.n > {RATIO} * t.n group by f.host
+  select f.host, list(line) as bad from f join t on f.host = t.host where f.n >= {MIN_COPIES} and f.n > {RATIO} * t.n group by f.host
 ), k as (
   select p.*, case when bad is null then lines else list_filter(lines, lambda x: not list_contains(bad, x)) end as kept from p left join b on p.host = b.host
 )
