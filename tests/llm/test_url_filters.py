@@ -36,9 +36,9 @@ def test_matches_brute_force(spark):
     hosts = ["a.com", "b.a.com", "C.b.a.com", "com", "d.org"]
     day = lambda: T0 + timedelta(days=r.randint(0, 200))
     entries = [(r.choice(["l1", "l2"]), r.choice([*hosts, "a.com/x", "d.org/Y"]), r.choice(["add", "add", "remove", "note"]), day()) for _ in range(60)]
-    entries += entries[:5] + [("l1", None, "add", T0), ("l1", "a.com", "add", None)]
+    entries += entries[:5] + [("l1", None, "add", T0), ("l1", "a.com", "add", None), ("l3", "a.com/x", "add", datetime(1700, 1, 1)), ("l3", "d.org/y", "add", datetime(1750, 1, 1)), ("l3", "d.org/y", "remove", datetime(1900, 1, 1))]
     caps = [(i % 70, f"http://{r.choice(hosts)}/{r.choice(['x', 'y/z', '', 'X?q'])}", day()) for i in range(120)]
-    caps += caps[:3] + [(900, None, T0), (901, "no url", T0), (902, "http://a.com/", None), (None, "http://a.com/x", day())]
+    caps += caps[:3] + [(900, None, T0), (901, "no url", T0), (902, "http://a.com/", None), (None, "http://a.com/x", day()), (903, "http://a.com/x", datetime(9000, 1, 1)), (904, "http://d.org/Y", datetime(1800, 5, 5))]
     c = spark.createDataFrame([Row(page_id=a, url=b, ts=t and t.replace(tzinfo=timezone.utc), list="z", pattern=1) for a, b, t in caps], "page_id long, url string, ts timestamp, list string, pattern int")
     e = spark.createDataFrame([Row(list=a, pattern=b, action=x, at=t and t.replace(tzinfo=timezone.utc)) for a, b, x, t in entries], "list string, pattern string, action string, at timestamp")
     for most in (uf.BROADCAST, 0):

@@ -10,8 +10,9 @@ from tidequery.llm.line_dedup import host_of
 
 #: Rows of list intervals that are broadcast; more are joined by key and period.
 BROADCAST = 50_000
-#: Seconds of a period. An interval has a row for each period it touches, so both sides meet on equal keys.
-PERIOD = 32 * 86400
+#: Seconds of a period. An interval has a row for each period with captures that it touches, so both sides meet on equal
+#: keys. With more periods than PERIODS that have captures, periods are longer.
+PERIOD, PERIODS = 32 * 86400, 4096
 _PATH = r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
 
@@ -37,18 +38,30 @@ def patterns_of(url: Column) -> Column:
     return F.when(host_of(url).isNull(), F.expr("cast(array() as array<string>)")).otherwise(both)
 
 
+def _periods(captures: DataFrame, at_col: str, period: int) -> tuple[int, list[int]]:
+    """(seconds of a period, the periods in which there are captures): PERIODS at most, as a century has 1141 of 32 days; for more, periods are four times as long."""
+    seconds = captures.select(F.unix_timestamp(at_col).alias("at")).where("at is not null")
+    while True:
+        found = seconds.select(F.floor(F.col("at") / period).alias("p")).distinct().limit(PERIODS + 1).collect()
+        if len(found) <= PERIODS:
+            return period, sorted(r.p for r in found)
+        period *= 4
+
+
 def judged(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, at_col: str, broadcast: int = BROADCAST, period: int = PERIOD) -> DataFrame:
     """A row (id, url, at, blocked, n_entries, first_pattern, lists) for each capture.
 
     n_entries: entries active at the fetch time that apply to the URL; first_pattern: the least of their patterns; lists:
     their lists, sorted. A capture with a null URL, no host or a null time matches nothing. Repeated captures are judged
-    once and each give a row. Empty tables are fine; other columns are ignored.
+    once and each give a row. Dates may be as far off as a timestamp holds: an interval has rows for the periods with
+    captures only. Empty tables are fine; other columns are ignored.
     """
     base = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.unix_timestamp(at_col).alias("at")).groupBy("id", "url", "at").agg(F.count("*").cast("int").alias("copies"))
+    period, periods = _periods(captures, at_col, period)
     keyed = base.select("*", F.explode_outer(patterns_of(F.col("url"))).alias("pattern"), F.floor(F.col("at") / period).alias("p"))
-    last = captures.agg(F.max(F.unix_timestamp(at_col))).first()[0] or 0
-    spans = intervals(entries).where(F.col("start") <= last).withColumn("last", F.least(F.coalesce(F.col("stop") - 1, F.lit(last)), F.lit(last)))
-    spans = spans.withColumn("p", F.explode(F.sequence(F.floor(F.col("start") / period), F.floor(F.col("last") / period))))
+    known = F.lit(",".join(map(str, periods)))
+    spans = intervals(entries).withColumn("_a", F.floor(F.col("start") / period)).withColumn("_z", F.floor((F.col("stop") - 1) / period))
+    spans = spans.withColumn("p", F.explode(F.filter(F.split(known, ",").cast("array<long>") if periods else F.expr("cast(array() as array<long>)"), lambda p: (p >= F.col("_a")) & (F.col("_z").isNull() | (p <= F.col("_z"))))))
     spans = durable(spans.select("list", F.col("pattern").alias("entry"), "start", "stop", F.col("p").alias("ep")))
     if spans.count() <= broadcast:
         spans = F.broadcast(spans)
