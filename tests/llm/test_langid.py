@@ -1,3 +1,4 @@
+import math
 import random
 from zlib import crc32
 
@@ -52,6 +53,46 @@ def test_accuracy_on_held_out_texts(spark):
     assert {r.doc_id for r in df.where(langid.HELD_OUT).collect()} == {r.doc_id for r in rows + odd[:3] if crc32(str(r.doc_id).encode()) % 4 == 2}
 
 
+def brute(train, texts, alpha=0.5):
+    """(language, posterior, gain) by a naive Bayes over dictionaries."""
+    counts, docs = {}, {}
+    for g, t in train:
+        own = counts.setdefault(g, {})
+        docs[g] = docs.get(g, 0) + 1
+        for x in brute_buckets(t):
+            own[x] = own.get(x, 0) + 1
+    out = []
+    for t in texts:
+        found = brute_buckets(t)
+        size = {g: sum(own.values()) + alpha * 2**langid.BITS for g, own in counts.items()}
+        plain = {g: sum(math.log((own.get(x, 0) + alpha) / size[g]) for x in found) for g, own in counts.items()}
+        s = {g: v + math.log(docs[g] / sum(docs.values())) for g, v in plain.items()}
+        best = min(s, key=lambda g: (-s[g], g))
+        out.append((best, 1 / sum(math.exp(v - s[best]) for v in s.values()), plain[best] / len(found) + langid.BITS * math.log(2)))
+    return out
+
+
+def test_matches_brute_force_in_one_part_and_in_several(spark):
+    train = corpus(60)
+    texts = [t for _, t in corpus(40, 7)] + ["x", "zzqx kkvw", "ein the", "eau " * 20_000, "привет мир " * 9]
+    want = brute(train, texts)
+    labelled = spark.createDataFrame(train, "lang string, text string")
+    docs = spark.createDataFrame([(k, t, 1.0, "z") for k, t in enumerate(texts)], "doc_id long, text string, best double, gain string")
+    for block in (langid.LANGS, 1):
+        model = langid.fit(labelled, block=block)
+        got = sorted(langid.predict(docs, model).collect())
+        for r, (g, p, gain) in zip(got, want, strict=True):
+            assert r.lang_pred == g and abs(r.score - p) < 1e-3 and abs(r.gain - gain) < 1e-3
+        assert got[-1].gain < 0 < got[0].gain
+
+
+def test_ties_go_to_the_first_language(spark):
+    df = spark.createDataFrame([("b", "same text"), ("a", "same text")], "lang string, text string")
+    for block in (langid.LANGS, 1):
+        r = langid.predict(df.selectExpr("1 as doc_id", "text"), langid.fit(df, block=block)).first()
+        assert r.lang_pred == "a" and abs(r.score - 0.5) < 1e-6
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.learned(df)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ BITS = 15
 #: Code points of a text that are hashed at once.
 PIECE = 1 << 17
 UND = "und"
+#: Languages of a part of the model: 4 bytes for each of them and each bucket are broadcast at a time.
+LANGS = 256
 
 
 def buckets(text: str, bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> Iterator[np.ndarray]:
@@ -80,25 +83,56 @@ def sums(texts: list[str | None], matrix: np.ndarray, bits: int = BITS, orders:
 
 
 @dataclass
-class Model:
-    """langs in order, and a (1 << bits) + 1 by len(langs) matrix of log-probabilities with a last row of zeros; prior: log-shares of texts."""
+class Part:
+    """Some languages in order, and a (1 << bits) + 1 by len(langs) matrix of log-probabilities with a last row of zeros; prior: log-shares of texts."""
 
     langs: list[str]
     matrix: np.ndarray
     prior: np.ndarray
-    bits: int
-    orders: tuple[int, ...]
-
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = BITS, orders: tuple[int, ...] = ORDERS, alpha: float = 0.5, most_langs: int = 512) -> Model:
-    """A model from all rows with a text and a language. Each task adds up its own counts; their sums are bounded by langs x buckets.
 
-    More than most_langs languages raise ValueError, which bounds what the driver gets.
+class Model:
+    """All languages in order, with their texts and n-grams; the counts stay a table, of which a part of the languages is read at a time."""
+
+    def __init__(self, rows: DataFrame, bits: int, orders: tuple[int, ...], alpha: float, block: int) -> None:
+        found = sorted((r.lang, r.texts, r.grams) for r in rows.groupBy("lang").agg(F.sum(F.when(F.col("bucket") < 0, F.col("n"))).alias("texts"), F.sum(F.when(F.col("bucket") >= 0, F.col("n")).otherwise(0)).alias("grams")).collect())
+        self.langs = [x[0] for x in found]
+        self._texts, self._grams = (np.array([x[k] for x in found], float) for k in (1, 2))
+        self._rows, self.bits, self.orders, self._alpha, self._block = rows, bits, orders, alpha, block
+
+    def parts(self) -> Iterator[Part]:
+        """The languages, `block` at a time: a part has as many counts as languages and buckets at most."""
+        for at in range(0, len(self.langs), self._block):
+            langs = self.langs[at : at + self._block]
+            rows = self._rows.where(F.col("lang").isin(langs) & (F.col("bucket") >= 0)).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).toArrow()
+            matrix = np.zeros(((1 << self.bits) + 1, len(langs)))
+            for lang, own in zip(rows.column("lang").to_pylist(), rows.column("c"), strict=True):
+                matrix[own.values.field("bucket").to_numpy(), langs.index(lang)] = own.values.field("n").to_numpy()
+            matrix[:-1] = np.log((matrix[:-1] + self._alpha) / (self._grams[at : at + self._block] + self._alpha * (1 << self.bits)))
+            matrix[-1] = 0
+            yield Part(langs, matrix.astype(np.float32), np.log(self._texts[at : at + self._block] / self._texts.sum()))
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = BITS, orders: tuple[int, ...] = ORDERS, alpha: float = 0.5, block: int = LANGS) -> Model:
+    """A model from all rows with a text and a language. Each task adds up its own counts; their sums are bounded by languages x buckets.
+
+    Texts of any length and number of languages are fine; an empty table gives a model of no language.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
+
+        def told() -> pa.RecordBatch:
+            found = []
+            for lang, own in counts.items():
+                own[-1] = 0
+                k = np.flatnonzero(own)
+                found.append(([lang] * (len(k) + 1), np.r_[k, -1], np.r_[own[k], docs[lang]]))
+            counts.clear()
+            docs.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f[0]], pa.string()), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], names=["lang", "bucket", "n"])
+
         for b in slices(batches, most=1 << 20):
             ts, ls = b.column("text").to_pylist(), b.column("lang").to_pylist()
             for lang in set(ls):
@@ -109,55 +143,58 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", bit
                     found = buckets(part[0], bits, orders) if len(part) == 1 else (x for x, _ in _hashed(part, bits, orders))
                     for x in found:
                         own += np.bincount(x, minlength=(1 << bits) + 1)
-        for lang, own in counts.items():
-            own[-1] = 0
-            k = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(k) + 1)), pa.array(np.r_[k, -1]), pa.array(np.r_[own[k], docs[lang]])], names=["lang", "bucket", "n"])
+                if len(counts) >= block:
+                    yield told()
+        if counts:
+            yield told()
 
     few = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    rows = mapped(few, run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = durable(rows)
-    if rows.where("bucket = -1").count() > most_langs:
-        raise ValueError(f"over {most_langs} languages")
-    rows = rows.toArrow()
-    langs = sorted(set(rows.column("lang").to_pylist()))
-    matrix, docs = np.zeros(((1 << bits) + 1, max(1, len(langs)))), np.zeros(len(langs))
-    if langs:
-        lang = np.searchsorted(langs, rows.column("lang").to_numpy())
-        bucket, n = rows.column("bucket").to_numpy(), rows.column("n").to_numpy()
-        matrix[bucket[bucket >= 0], lang[bucket >= 0]] = n[bucket >= 0]
-        docs[lang[bucket < 0]] = n[bucket < 0]
-    p = matrix[:-1] + alpha
-    matrix[:-1] = np.log(p / p.sum(axis=0))
-    matrix[-1] = 0
-    return Model(langs, matrix.astype(np.float32), np.log(docs / docs.sum()) if langs else docs, bits, orders)
+    rows = durable(mapped(few, run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    return Model(rows, bits, orders, alpha, block)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row (doc_id, lang_pred, score) for each row of docs; score is the posterior probability of lang_pred.
-
-    A text that is null or has no letter, and any text if the model knows no language, is `und` with score 0. Of equal
-    posteriors the first language in order is taken. Repeated rows each give a row; an empty table gives an empty result;
-    other columns are ignored.
+    """A row (doc_id, lang_pred, score, gain) for each row of docs; score is the posterior probability of lang_pred.
+
+    gain: how much likelier an n-gram of the text is in that language than if all buckets were equally likely, the mean of
+    the logarithms; it is over 0 for texts that look like a learned language. The posterior can't tell: of languages that
+    all don't fit, one is still far likelier than the others.
+    A text that is null or has no letter, and any text if the model knows no language, is `und` with score 0 and gain 0.
+    Of equal posteriors the first language in order is taken. Repeated rows each give a row; an empty table gives an empty
+    result; other columns are ignored. The documents are read once for each block of languages (LANGS) of the model.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in slices(batches, most=1 << 20):
-            ts = [t if t and m.langs and any(map(str.isalpha, t)) else None for t in b.column("text").to_pylist()]
-            if not m.langs:
-                best, top = np.zeros(len(ts), np.int64), np.zeros(len(ts))
-            else:
-                s = sums(ts, m.matrix, m.bits, m.orders) + m.prior
-                best = s.argmax(axis=1)
-                top = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
-            said = [UND if t is None else m.langs[k] for t, k in zip(ts, best, strict=True)]
-            sure = np.where([t is None for t in ts], 0.0, top)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(said, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return mapped(few, run, "doc_id long, lang_pred string, score double")
+    few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(UND).alias("lang_pred"), F.lit(-math.inf).alias("best"), F.lit(-math.inf).alias("total"), F.lit(0.0).alias("gain"))
+    spark, bits, orders = docs.sparkSession, model.bits, model.orders
+
+    def judge(now: DataFrame, part: Part) -> DataFrame:
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            for b in slices(batches, most=1 << 20):
+                ts = [t if t and any(map(str.isalpha, t)) else None for t in b.column("text").to_pylist()]
+                said, best, total, gain = b.column("lang_pred").to_pylist(), *(b.column(c).to_numpy().copy() for c in ("best", "total", "gain"))
+                lengths = np.array([len(t.lower()) if t else 0 for t in ts])
+                grams = sum(np.maximum(lengths - n + 1, 0) for n in orders)
+                plain = sums(ts, m.matrix, bits, orders)
+                s = plain + m.prior
+                k = s.argmax(axis=1)
+                top = s[np.arange(len(ts)), k]
+                own = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+                told = np.array([t is not None for t in ts], bool)
+                better = told & (top > best)
+                total = np.where(told, np.logaddexp(total, own), total)
+                gain = np.where(better, plain[np.arange(len(ts)), k] / np.maximum(grams, 1) + bits * math.log(2), gain)
+                best = np.where(better, top, best)
+                said = [m.langs[j] if y else x for x, y, j in zip(said, better.tolist(), k.tolist(), strict=True)]
+                new = {"lang_pred": pa.array(said, pa.string()), "best": pa.array(best, pa.float64()), "total": pa.array(total, pa.float64()), "gain": pa.array(gain, pa.float64())}
+                yield pa.RecordBatch.from_arrays([new.get(n, b.column(i)) for i, n in enumerate(b.schema.names)], names=b.schema.names)
+
+        return mapped(now, run, now.schema)
+
+    for k, part in enumerate(model.parts()):
+        few = judge(durable(few) if k else few, part)
+    return few.select("doc_id", "lang_pred", F.when(F.col("total") > -math.inf, F.least(F.lit(1.0), F.exp(F.col("best") - F.col("total")))).otherwise(0.0).alias("score"), "gain")
 
 
 #: Whether a document is held out of the learning.
