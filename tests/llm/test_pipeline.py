@@ -24,7 +24,7 @@ def corpus(seed=11):
     items = [(1, " ".join(word("en") for _ in range(14))), (2, " ".join(word("en") for _ in range(5)))]
     docs[20][1] += "\n" + items[0][1].upper()
     docs[21][1] = "xx " + items[1][1] + " yy"
-    docs += [[200, docs[3][1], "en", "a"], [201, docs[5][1] + " end", "en", "b"], [202, None, "en", "a"], [203, "", None, None], [204, "123 ... 456", "en", "b"], [7, docs[7][1], docs[7][2], docs[7][3]]]
+    docs += [[200, docs[3][1], "en", "a"], [201, docs[5][1] + " end", "en", "b"], [202, None, "en", "a"], [203, "", None, None], [204, "123 ... 456", "en", "b"], [205, "привет мир как дела " * 9, None, "a"], [7, docs[7][1], docs[7][2], docs[7][3]]]
     return [(*d, len(d[1] or "")) for d in docs], items
 
 
@@ -37,11 +37,12 @@ def data(spark, tmp_path_factory):
     return d, docs, items
 
 
-def test_stages_match_brute_force(spark, data):
+def test_stages_match_brute_force(spark, data, monkeypatch):
+    monkeypatch.setattr(cp, "GAIN", -0.5)  # a model of so few texts is never as sure
     d, docs, items = data
     now = spark.read.parquet(f"{d}/documents.parquet")
     s1 = [tuple(x) for x in cp.language(spark, now, d).collect()]
-    assert {x[0] for x in docs} - {x[0] for x in s1} == {202, 203, 204}
+    assert {x[0] for x in docs} - {x[0] for x in s1} == {202, 203, 204, 205}
     s2 = sorted(tuple(x) for x in cp.lines(spark, spark.createDataFrame(s1, COLS), d).collect())
     pages = Counter(x[3] for x in s1 if x[3])
     often = Counter((x[3], y) for x in s1 if x[3] for y in {z.strip(" ") for z in x[1].split("\n")})
@@ -63,6 +64,19 @@ def test_stages_match_brute_force(spark, data):
     assert sorted(tuple(x)[:5] for x in cp.run(spark, d).collect()) == sorted(tuple(x)[:5] for x in s5.collect())
 
 
+def test_rows_that_share_an_id_are_judged_by_themselves(spark, data):
+    d, docs, items = data
+    good = [x for x in docs if x[0] in (3, 8)]
+    rows = [*good, (8, None, "en", "a", 0), (8, items[0][1], "en", "a", 70), (None, good[0][1] + " x", None, None, 5), (None, "wher thing ing ther" * 2000, "en", "b", 6)]
+    now = spark.createDataFrame(rows, COLS)
+    full = spark.createDataFrame([*rows, *docs], COLS)
+    assert sorted(x.doc_id or -1 for x in cp.language(spark, full, d).where("doc_id is null or doc_id in (3, 8)").collect()) == [-1, -1, 3, 3, 8, 8, 8]
+    near = [(x.doc_id, x.text) for x in cp.near_duplicates(spark, now, d).collect()]
+    assert (3, good[0][1]) in near and (None, good[0][1] + " x") not in near and len([x for x in near if x[0] == 8]) == 3
+    clean = [(x.doc_id, x.text) for x in cp.benchmark(spark, now, d).collect()]
+    assert (8, items[0][1]) not in clean and (8, None) in clean and len(clean) == len(rows) - 1
+
+
 def test_empty_documents(spark, data):
     now = spark.createDataFrame([], COLS)
     for _, stage in cp.STAGES:
