@@ -7,12 +7,14 @@ the same value with a probability that equals their generalised Jaccard similari
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidequery.llm.common import durable, table
 
-SAMPLES, WIDE = 64, 8
+SAMPLES, WIDE = 64, 2
 #: A null id stands before all others; its key is the least long, which is no id of its own.
 _KEY, _ID = "coalesce(doc_id, -9223372036854775808L)", "nullif(k, -9223372036854775808L)"
 
@@ -23,19 +25,43 @@ def words(text: str | Column) -> Column:
     return F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", "abcdefghijklmnopqrstuvwxyz     "), " ")
 
 
+def _gamma(key: str, n: str, z: str) -> tuple[str, str, str]:
+    """Gamma(2, 1) from 64 random bits in three steps: (bits to n, bits to x, n and z to the value) with z = (x - 1/2) / (x + 1/2).
+
+    It is the sum of two exponentials, each ln 2 times a geometric number and a part below ln 2. The numbers add up to the
+    place of the second set bit (24 bits); the parts to -ln x with x = (1 - u/2)(1 - v/2) (20 bits each), which the series
+    of atanh gives to 1e-7. There is no logarithm, which isn't compiled in place.
+    """
+    f, q = f"shiftrightunsigned({key}, 40)", f"{z} * {z}"
+    y = f"(({f} & ({f} - 1L)) | 16777216L)"
+    series = "0.09090909090909091D"
+    for k in (9, 7, 5, 3, 1):
+        series = f"({1 / k!r}D + {q} * {series})"
+    return f"bit_count({y} ^ ({y} - 1L))", f"(2097152L - (shiftrightunsigned({key}, 20) & 1048575L)) * (2097152L - ({key} & 1048575L)) * {2.0**-42!r}D", f"({n} - 1) * {log(2)!r}D - 2D * {z} * {series}"
+
+
 def signatures(weights: DataFrame, keys: list[str], sides: list[str], samples: int = SAMPLES) -> DataFrame:
     """keys and a string for each side: 4 hex digits for each draw, from rows (keys, term: long, a weight column for each side).
 
     A weight that is null or not over 0 leaves the term out of that side. A side without terms is all `ffff`.
-    The draws go in blocks of 8 columns so that each row is handled in compiled code; the only state are the minima.
+    The draws go in blocks of WIDE columns so that the code for each row stays small enough to be compiled; the only state
+    are the minima. A weight of 1 has t = 0, without a division.
     """
     blocks = -(-samples // WIDE)
-    rows = weights.select(*keys, "term", *(F.when(F.col(s) > 0, F.ln(F.col(s).cast("double"))).alias(f"_w_{s}") for s in sides), F.explode(F.array(*map(F.lit, range(blocks)))).alias("_b"))
     w, each = [f"_w_{s}" for s in sides], range(WIDE)
-    rows = rows.select(*keys, "_b", *w, *(F.expr(f"xxhash64(term, _b * {WIDE} + {j})").alias(f"_h{j}") for j in each))
-    rows = rows.select(*keys, "_b", *w, *(F.expr(f"xxhash64(_h{j})").alias(f"_g{j}") for j in each), *(F.expr(f"-ln(((_h{j} & 2097151L) + 0.5D) * ((shiftrightunsigned(_h{j}, 21) & 2097151L) + 0.5D) * {2.0**-42!r}D)").alias(f"_r{j}") for j in each), *(F.expr(f"shiftrightunsigned(_h{j}, 42) * {2.0**-22!r}D").alias(f"_u{j}") for j in each))
-    rows = rows.select(*keys, "_b", *w, *(F.expr(f"ln(-ln((shiftrightunsigned(_g{j}, 32) + 0.5D) * ((_g{j} & 4294967295L) + 0.5D) * {2.0**-64!r}D))").alias(f"_c{j}") for j in each), *(f"_r{j}" for j in each), *(f"_u{j}" for j in each))
-    least = [F.min(F.expr(f"_c{j} - _r{j} * (floor(_w_{s} / _r{j} + _u{j}) + 1 - _u{j})")).alias(f"_{s}{j}") for s in sides for j in each]
+    col = lambda sql, name: F.expr(sql).alias(name)
+    both = [(x, k, j) for j in each for x, k in (("r", f"_h{j}"), ("c", f"_g{j}"))]
+    step = lambda x, k, j: _gamma(k, f"_n{x}{j}", f"_z{x}{j}")
+    rows = weights.select(*keys, "term", *(F.when(F.col(s) > 0, F.ln(F.col(s).cast("double"))).alias(f"_w_{s}") for s in sides), F.explode(F.array(*map(F.lit, range(blocks)))).alias("_b"))
+    own = [*keys, "_b", *w]
+    rows = rows.select(*own, *(col(f"xxhash64(term, _b * {WIDE} + {j})", f"_h{j}") for j in each))
+    rows = rows.select(*own, *(f"_h{j}" for j in each), *(col(f"xxhash64(_h{j})", f"_g{j}") for j in each))
+    rows = rows.select(*own, *(col(step(*x)[0], f"_n{x[0]}{x[2]}") for x in both), *(col(step(*x)[1], f"_x{x[0]}{x[2]}") for x in both), *(col(f"(hash(_g{j}) & 16777215) * {2.0**-24!r}D", f"_u{j}") for j in each))
+    rows = rows.select(*own, *(f"_n{x}{j}" for x, _, j in both), *(col(f"(_x{x}{j} - 0.5D) / (_x{x}{j} + 0.5D)", f"_z{x}{j}") for x, _, j in both), *(f"_u{j}" for j in each))
+    rows = rows.select(*own, *(col(step(*x)[2] if x[0] == "r" else f"ln({step(*x)[2]})", f"_{x[0]}{x[2]}") for x in both), *(f"_u{j}" for j in each))
+    rows = rows.select(*own, *(col(f"_c{j} - _r{j} * (1D - _u{j})", f"_a{j}") for j in each), *(f"_r{j}" for j in each), *(f"_u{j}" for j in each))
+    value = "case when _w_{s} = 0D then _a{j} when _w_{s} > -1e300D then _a{j} - _r{j} * floor(_w_{s} / _r{j} + _u{j}) end"
+    least = [F.min(F.expr(value.format(s=s, j=j))).alias(f"_{s}{j}") for s in sides for j in each]
     found = rows.groupBy(*keys, "_b").agg(*least)
     hexed = lambda c: f"lpad(lower(hex(coalesce(shiftrightunsigned(xxhash64(floor({c} * 1e9D)), 48) % 65535, 65535))), 4, '0')"
     found = found.select(*keys, "_b", *(F.expr(f"case when _{s}0 is null then '{'ffff' * WIDE}' else concat({', '.join(hexed(f'_{s}{j}') for j in each)}) end").alias(s) for s in sides))
