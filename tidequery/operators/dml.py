@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidequery.errors import CONSTRAINT, QueryError
@@ -81,10 +82,7 @@ def _ordinals(df: DataFrame, cx: Context) -> DataFrame:
     """df with an ordinal from 0, by partition and place: the rows of each partition are counted, not brought together."""
     if _ORD in df.columns:
         return df
-    staged = df.withColumn("_tq_m", F.monotonically_increasing_id())
-    out = f"{cx.store.root}/tables/_staged/{abs(hash((cx.sql, cx.state.seq, id(df))))}"
-    staged.write.mode("overwrite").parquet(out)
-    staged = cx.session.read.schema(staged.schema).parquet(out)
+    staged = _staged(df.withColumn("_tq_m", F.monotonically_increasing_id()), cx)
     counts = sorted((r[0], r[1]) for r in staged.groupBy(F.shiftright("_tq_m", 33).alias("p")).count().collect())
     base, at = [], 0
     for p, n in counts:
@@ -94,6 +92,13 @@ def _ordinals(df: DataFrame, cx: Context) -> DataFrame:
     return staged.join(F.broadcast(bases), F.shiftright("_tq_m", 33) == F.col("_tq_p")).withColumn(_ORD, F.col("_tq_b") + F.col("_tq_m").bitwiseAND((1 << 33) - 1)).drop("_tq_m", "_tq_p", "_tq_b")
 
 
+def _staged(df: DataFrame, cx: Context) -> DataFrame:
+    """df, written once and read from there, so that what is checked is what is written."""
+    out = f"{cx.store.root}/tables/_staged/{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return cx.session.read.schema(df.schema).parquet(out)
+
+
 def _broken(t: Table) -> list[tuple[str, object]]:
     """(what, condition) of each row constraint's violation."""
     out = [(f"NOT NULL {t.name}.{c.name}", F.col(f"`{c.name}`").isNull()) for c in t.columns if c.notnull]
@@ -149,7 +154,7 @@ def insert(cx: Context, b: Bound, rows: list[dict[str, object]] | None = None) -
         do = find(ts, "DO", conflict)
         body = ts[at : conflict - 1]
         if ts[do + 1].up != "NOTHING":
-            return _upsert(cx, t, columns, body, ts[conflict:do], ts[do + 1 :], b)
+            return _upsert(cx, t, columns, body, ts[conflict:do], ts[do + 1 :], b, rows)
         mode = "IGNORE"
     if mode not in ("ABORT", "IGNORE", "REPLACE", "FAIL", "ROLLBACK"):
         raise QueryError(f"OR {mode} isn't known", cx.sql)
@@ -182,6 +187,64 @@ def _rows(cx: Context, t: Table, columns: list[Column], with_: list[Token], body
     return df.select(*keep, *(F.col(f"`{c.name}`") for c in columns), *extra).select(*keep, *(F.col(f"`{c.name}`") for c in t.columns))
 
 
+def _named(u: tuple[str, ...]) -> list:
+    return [F.col(f"`{c}`") for c in u]
+
+
+def _accepted(cx: Context, t: Table, df: DataFrame, old: DataFrame | None) -> DataFrame:
+    """The rows that INSERT OR IGNORE puts in one after the other: those that break no constraint of their own and have no key of an old row or of a row put in before.
+
+    Rows without a rival before them all go in at once and take their later rivals out; what is left is judged again. With
+    one key, or where keys go together, that is one round.
+    """
+    names = [f"`{c.name}`" for c in t.columns]
+    for _, bad in _broken(t):
+        df = df.where(~bad)
+    for u in t.uniques if old is not None else ():
+        df = df.join(old.select(*_named(u)), list(u), "left_anti").select(_ORD, *names)
+    if not t.uniques:
+        return df
+    rest, out = _staged(df.select(_ORD, *names), cx), None
+    while True:
+        free = rest
+        for u in t.uniques:
+            best = rest.where(_all_set(u)).groupBy(*_named(u)).agg(F.min(_ORD).alias("_tq_first"))
+            free = free.join(best, list(u), "left").where(F.col("_tq_first").isNull() | (F.col(_ORD) == F.col("_tq_first"))).select(_ORD, *names)
+        free = _staged(free, cx)
+        out = free if out is None else out.unionByName(free)
+        if len(t.uniques) == 1:
+            return out
+        rest = rest.join(free.select(_ORD), _ORD, "left_anti")
+        for u in t.uniques:
+            rest = rest.join(free.select(*_named(u)), list(u), "left_anti")
+        rest = _staged(rest.select(_ORD, *names), cx)
+        if rest.isEmpty():
+            return out
+
+
+def _replacing(cx: Context, t: Table, given: DataFrame, old: DataFrame | None) -> tuple[Table, DataFrame, bool]:
+    """(t without the old rows that go, the rows that stay, whether any old row went) of INSERT OR REPLACE.
+
+    Every row is put in for a while: it takes out all rows before it, old or new, that have a key of it.
+    """
+    names, df, kept, gone = [f"`{c.name}`" for c in t.columns], given, t, 0
+    for u in t.uniques:
+        best = given.where(_all_set(u)).groupBy(*_named(u)).agg(F.max(_ORD).alias("_tq_last"))
+        df = df.join(best, list(u), "left").where(F.col("_tq_last").isNull() | (F.col(_ORD) == F.col("_tq_last"))).select(_ORD, *names)
+    if old is not None and t.uniques:
+
+        def replaced(files: tuple[str, ...]) -> DataFrame:
+            hit, named = F.lit(False), _filed(cx, t, files)
+            for k, u in enumerate(t.uniques):
+                mark = given.where(_all_set(u)).select(*_named(u)).distinct().withColumn(f"_tq_u{k}", F.lit(True))
+                named = named.join(mark, list(u), "left")
+                hit = hit | F.coalesce(F.col(f"_tq_u{k}"), F.lit(False))
+            return named.withColumn("_tq_hit", hit)
+
+        kept, gone = _rewritten(cx, t, replaced, names, None)
+    return kept, df, gone > 0
+
+
 def _insert(cx: Context, t: Table, mode: str, df: DataFrame) -> tuple[Table, WriteResult, bool]:
     old = cx.store.load(t, cx.session) if t.files else None
     names = [f"`{c.name}`" for c in t.columns]
@@ -189,52 +252,24 @@ def _insert(cx: Context, t: Table, mode: str, df: DataFrame) -> tuple[Table, Wri
         df = _ordinals(df, cx)
     if t.rowid:
         key = F.col(f"`{t.rowid}`")
-        high = max(t.high, (df.agg(F.max(key)).first()[0] or 0)) if not df.where(key.isNotNull()).isEmpty() else t.high
-        df = df.withColumn(t.rowid, F.coalesce(key, F.lit(high) + 1 + F.col(_ORD)))
-    changed = False
+        given = df.agg(F.max(key)).first()[0]
+        df = df.withColumn(t.rowid, F.coalesce(key, F.lit(max(t.high, given or 0)) + 1 + F.col(_ORD)))
+    kept, changed, affected = t, False, None
     if mode == "IGNORE":
-        for _, bad in _broken(t):
-            df = df.where(~bad)
-        for u in t.uniques:
-            best = df.groupBy(*(F.col(f"`{c}`") for c in u)).agg(F.min(_ORD).alias("_tq_first"))
-            whole = df.where(_all_set(u)).join(best, list(u)).where(F.col(_ORD) == F.col("_tq_first")).select(_ORD, *names)
-            df = whole.unionByName(df.where(~_all_set(u)).select(_ORD, *names))
-            if old is not None:
-                df = df.join(old.select(*(F.col(f"`{c}`") for c in u)), list(u), "left_anti").select(_ORD, *names)
-    kept, affected = t, None
-    if mode == "REPLACE":
-        for u in t.uniques:
-            best = df.groupBy(*(F.col(f"`{c}`") for c in u)).agg(F.max(_ORD).alias("_tq_last"))
-            whole = df.where(_all_set(u)).join(best, list(u)).where(F.col(_ORD) == F.col("_tq_last")).select(_ORD, *names)
-            df = whole.unionByName(df.where(~_all_set(u)).select(_ORD, *names))
-        if old is not None and t.uniques:
-
-
-            def replaced(files: tuple[str, ...]) -> DataFrame:
-                hit, named = F.lit(False), _filed(cx, t, files)
-                for k, u in enumerate(t.uniques):
-                    mark = df.where(_all_set(u)).select(*(F.col(f"`{c}`") for c in u)).distinct().withColumn(f"_tq_u{k}", F.lit(True))
-                    named = named.join(mark, list(u), "left")
-                    hit = hit | F.coalesce(F.col(f"_tq_u{k}"), F.lit(False))
-                return named.withColumn("_tq_hit", hit)
-
-            kept, gone = _rewritten(cx, t, replaced, names, None)
-            changed = gone > 0
-        if any(not df.where(bad).isEmpty() for _, bad in _broken(t)):
-            _fail(next(w for w, bad in _broken(t) if not df.where(bad).isEmpty()), cx)
-        old = None
-    if mode in ("ABORT", "FAIL", "ROLLBACK"):
-        affected = _checked(t, df, old, cx, t.uniques)
+        df = _accepted(cx, t, df, old)
+    elif mode == "REPLACE":
+        affected = _checked(t, df, None, cx, ())
+        kept, df, changed = _replacing(cx, t, df, old)
     else:
-        affected = df.count()
-    if not affected:
+        affected = _checked(t, df, old, cx, t.uniques)
+    ends = (F.max(f"`{t.rowid}`"), F.max_by(f"`{t.rowid}`", _ORD)) if t.rowid else (F.lit(0), F.lit(0))
+    size, top, last = df.agg(F.count("*"), *ends).first()
+    if not size:
         return kept, WriteResult(0, 0), changed
-    last = 0
     if t.rowid:
-        top = df.agg(F.max(f"`{t.rowid}`"), F.max_by(f"`{t.rowid}`", _ORD)).first()
-        last, kept = top[1] or 0, replace(kept, high=max(kept.high, top[0] or 0))
+        kept = replace(kept, high=max(kept.high, top or 0))
     files = cx.store.write(t, df.select(*names))
-    return replace(kept, files=kept.files + files, rows=kept.rows + affected), WriteResult(affected, last), True
+    return replace(kept, files=kept.files + files, rows=kept.rows + size), WriteResult(size if affected is None else affected, last or 0), True
 
 
 def _filed(cx: Context, t: Table, files: tuple[str, ...]) -> DataFrame:
@@ -329,35 +364,64 @@ def delete(cx: Context, b: Bound) -> tuple[Table, WriteResult, bool]:
     return out, WriteResult(n), n > 0
 
 
-def _upsert(cx: Context, t: Table, columns: list[Column], body: list[Token], on: list[Token], do: list[Token], b: Bound) -> tuple[Table, WriteResult, bool]:
-    """INSERT ... ON CONFLICT (columns) DO UPDATE SET ...: rows in conflict update the old row, the others are inserted."""
+def _upsert(cx: Context, t: Table, columns: list[Column], body: list[Token], on: list[Token], do: list[Token], b: Bound, rows: list[dict] | None) -> tuple[Table, WriteResult, bool]:
+    """INSERT ... ON CONFLICT (columns) DO UPDATE SET ... [WHERE ...]: rows in conflict update the old row, the others are inserted; rows: the parameters of each of a batch.
+
+    Rows of different keys go in together, by one join. Of rows that share a key each sees what the one before made, so
+    they go in rounds, the first of each key first; where SET only names excluded columns and there is no WHERE, two
+    rounds do: the first rows, then the last ones.
+    """
     a = next((k for k, x in enumerate(on) if x.text == "("), -1)
     if a < 0:
         raise QueryError("ON CONFLICT needs columns", cx.sql)
     keys = [t.column(name_of(p[0])).name for p in parted(on[a + 1 : closing(on, a)])]
-    df = _ordinals(_rows(cx, t, columns, [], body, b.args, None), cx)
-    dup = df.groupBy(*(F.col(f"`{k}`") for k in keys)).count().where("count > 1")
-    if not dup.isEmpty():
-        raise QueryError("two rows of an upsert have the same key", cx.sql, code=CONSTRAINT)
-    names, old = [f"`{c.name}`" for c in t.columns], cx.store.load(t, cx.session)
-    fresh = df.join(old.select(*(F.col(f"`{k}`") for k in keys)), keys, "left_anti").select(_ORD, *names)
-    sets = {t.column(name_of(p[0])).name: p[2:] for p in parted(do[do.index(next(x for x in do if x.up == "SET")) + 1 :])}
-    n, changed = 0, False
+    cut = find(do, "WHERE")
+    where, do = (do[cut + 1 :], do[:cut]) if cut > 0 else ([], do)
+    sets = {t.column(name_of(p[0])).name: p[2:] for p in parted(do[find(do, "SET") + 1 :])}
+    df = _staged(_ordinals(_rows(cx, t, columns, [], body, b.args, rows), cx), cx)
+    ranked = df.withColumn("_tq_rank", F.row_number().over(Window.partitionBy(*_named(tuple(keys))).orderBy(_ORD)))
+    most = df.where(_all_set(tuple(keys))).groupBy(*_named(tuple(keys))).count().agg(F.max("count")).first()[0] or 1
+    plain = not where and all([x.up for x in v[:2]] == ["EXCLUDED", "."] and len(v) == 3 for v in sets.values())
+    total, last, changed = 0, 0, False
+    if most == 1:
+        rounds = [df]
+    else:
+        ranked, names = _staged(ranked, cx), [_ORD, *(f"`{c.name}`" for c in t.columns)]
+        free = ~_all_set(tuple(keys))
+        rounds = [ranked.where((F.col("_tq_rank") == k) | free if k == 1 else (F.col("_tq_rank") == k) & ~free).select(*names) for k in range(1, (1 if plain else most) + 1)]
+        if plain:
+            late = ranked.where((F.col("_tq_rank") > 1) & ~free)
+            best = late.groupBy(*_named(tuple(keys))).agg(F.max(_ORD).alias("_tq_last"))
+            rounds.append(late.join(best, keys).where(F.col(_ORD) == F.col("_tq_last")).select(*names))
+            total = late.count() - best.count()
+    for rows_ in rounds:
+        t, got, more = _merged(cx, t, rows_, keys, sets, where, b.args)
+        total, last, changed = total + got.affected, got.last_id or last, changed or more
+        cx = replace(cx, state=cx.state.with_table(t))
+    return t, WriteResult(total, last), changed
+
+
+def _merged(cx: Context, t: Table, df: DataFrame, keys: list[str], sets: dict[str, list[Token]], where: list[Token], args: dict) -> tuple[Table, WriteResult, bool]:
+    """One round of an upsert, whose rows have different keys: the old rows are updated where the condition holds, the others inserted."""
+    names, n = [f"`{c.name}`" for c in t.columns], 0
+    fresh = df.join(cx.store.load(t, cx.session).select(*_named(tuple(keys))), keys, "left_anti").select(_ORD, *names)
     if t.files:
         df.select(F.lit(True).alias("_tq_in"), *names).createOrReplaceTempView("excluded")
         same = " AND ".join(f"`{t.name}`.`{k}` = excluded.`{k}`" for k in keys)
-        exprs = [f"CASE WHEN excluded._tq_in THEN CAST({text_of(dialect(_qualified(sets[c.name], t)))} AS {c.type}) ELSE `{t.name}`.`{c.name}` END AS `{c.name}`" if c.name in sets else f"`{t.name}`.`{c.name}`" for c in t.columns]
+        hit = "coalesce(excluded._tq_in, false)" + (f" AND coalesce(CAST(({text_of(dialect(_qualified(where, t)))}) AS BOOLEAN), false)" if where else "")
+        exprs = [f"CASE WHEN {hit} THEN CAST({text_of(dialect(_qualified(sets[c.name], t)))} AS {c.type}) ELSE `{t.name}`.`{c.name}` END AS `{c.name}`" if c.name in sets else f"`{t.name}`.`{c.name}`" for c in t.columns]
+        query = f"SELECT `{t.name}`._tq_file AS _tq_file, {hit} AS _tq_hit, {', '.join(exprs)} FROM _tq_target AS `{t.name}` LEFT JOIN excluded ON {same}"
 
         def changed_rows(files: tuple[str, ...]) -> DataFrame:
             _filed(cx, t, files).createOrReplaceTempView("_tq_target")
-            return cx.session.sql(query, args=b.args)
+            return cx.session.sql(query, args=args)
 
-        query = f"SELECT `{t.name}`._tq_file AS _tq_file, coalesce(excluded._tq_in, false) AS _tq_hit, {', '.join(exprs)} FROM _tq_target AS `{t.name}` LEFT JOIN excluded ON {same}"
-        _checked(t, changed_rows(t.files).where("_tq_hit").select(*names), None, cx, ())
-        t, n = _rewritten(cx, t, changed_rows, names, lambda rows: rows.select(*names))
-        changed = n > 0
+        old, all_ = t, changed_rows(t.files)
+        touched = tuple(u for u in t.uniques if any(c in sets for c in u))
+        _checked(t, all_.where("_tq_hit").select(*names), all_.where("not _tq_hit") if touched else None, cx, touched)
+        t, n = _rewritten(cx, old, changed_rows, names, lambda rows: rows.select(*names))
     out, got, more = _insert(cx, t, "ABORT", fresh)
-    return out, WriteResult(n + got.affected, got.last_id), changed or more
+    return out, WriteResult(n + got.affected, got.last_id), n > 0 or more
 
 
 def _qualified(ts: list[Token], t: Table) -> list[Token]:
