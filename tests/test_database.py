@@ -4,8 +4,9 @@ import time
 
 import pytest
 
-from tidequery import ConnectionFailed, Database, QueryError, StateError, TransactionError
+from tidequery import ConnectionFailed, Database, QueryError, StateError, TransactionError, database
 from tidequery.operators.results import large_digest
+from tidequery.sources import store
 
 
 @pytest.fixture
@@ -248,3 +249,46 @@ def test_digest_tells_nulls_apart(spark):
     one = lambda q: large_digest(spark.sql(q))
     assert one("select 1 a, cast(null as int) b") != one("select cast(null as int) a, 1 b")
     assert one("select 1 a union all select 1") != one("select 2 a union all select 2")
+
+
+def test_a_dead_writers_lock_is_taken_over(db, spark, tmp_path, monkeypatch):
+    lock = tmp_path / "db" / "_log" / f"{db.store.head.seq + 1:012d}.lock"
+    lock.touch()
+    with pytest.raises(TransactionError) as e:
+        db.execute("INSERT INTO items(name, value) VALUES ('a', 1)")
+    assert e.value.code == 5 and names(db) == []
+    monkeypatch.setattr(store, "LOCK_SECONDS", -1)
+    db.execute("INSERT INTO items(name, value) VALUES ('a', 1)")
+    assert names(db) == ["a"]
+
+
+def test_two_writers_alternate(db, spark, tmp_path):
+    with Database.open(spark, str(tmp_path / "db")) as other:
+        other.execute("INSERT INTO items(name, value) VALUES ('a', 1)")
+        with pytest.raises(TransactionError) as e:
+            db.execute("INSERT INTO items(name, value) VALUES ('b', 1)")
+        assert e.value.code == 5
+        assert db.execute("INSERT INTO items(name, value) VALUES ('b', 1)").last_id == 2
+        with pytest.raises(TransactionError):
+            other.execute("DELETE FROM items")
+        assert other.execute("DELETE FROM items").affected == 2
+
+
+def test_small_files_are_merged_by_themselves(db, monkeypatch):
+    monkeypatch.setattr(database, "SMALL_FILES", 3)
+    for k in range(5):
+        db.execute("INSERT INTO items(name, value) VALUES (?, ?)", [f"n{k}", k])
+    assert names(db) == [f"n{k}" for k in range(5)] and len(db.store.head.table("items").files) < 4
+    assert db.vacuum() >= 3 and names(db) == [f"n{k}" for k in range(5)]
+
+
+def test_upserts_one_after_the_other(db):
+    db.execute("CREATE TABLE t(id INTEGER PRIMARY KEY, k INTEGER UNIQUE, n INTEGER)")
+    db.execute("INSERT INTO t VALUES (1, 1, 1), (2, 2, 2)")
+    r = db.execute_batch("INSERT INTO t VALUES (?, ?, ?) ON CONFLICT(id) DO UPDATE SET n = n * 10 + excluded.n", [[1, 8, 1], [1, 8, 2], [3, 3, 3], [3, 3, 4], [2, 2, 9]])
+    assert r.affected == 5 and [tuple(x.values()) for x in db.select("SELECT * FROM t ORDER BY id")] == [(1, 1, 112), (2, 2, 29), (3, 3, 34)]
+    for sql in ("INSERT INTO t VALUES (1, 0, 0) ON CONFLICT(id) DO UPDATE SET k = 2", "INSERT INTO t VALUES (9, 2, 0) ON CONFLICT(id) DO UPDATE SET n = 0"):
+        with pytest.raises(QueryError) as e:
+            db.execute(sql)
+        assert e.value.code == 19
+    assert db.execute("INSERT INTO t VALUES (1, 0, 5) ON CONFLICT(id) DO UPDATE SET n = excluded.n WHERE t.n > 1000").affected == 0

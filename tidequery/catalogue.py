@@ -6,21 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidequery.plans.engine_queries import ENGINE
+from tidequery.plans.engine_queries import ENGINE, viewed
 from tidequery.plans.reads_sql import READS
-from tidequery.sources.tables import register
 
 
-def _runner(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
-        return spark.sql(sql)
-
-    return run
+def _runner(sql: str, params: tuple) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: viewed(spark, sf_dir).frame(sql, params)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _runner(v[0]) for k, v in READS.items()} | {k: v[0] for k, v in ENGINE.items()}
+    return {k: _runner(v[0], v[2]) for k, v in READS.items()} | {k: v[0] for k, v in ENGINE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
