@@ -172,29 +172,24 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
     """
     for name, schema in schemas.items():
         known(schema, name)
-    key = lambda i: F.xxhash64(F.col("conv").cast("string"), i)
-    base = calls.select("conv", F.col("turn").cast("long").alias("turn"), F.col("id").cast("string").alias("id"), "name", "arguments", F.col("parent").cast("string").alias("parent"))
-    base = base.withColumn("k", key("id")).withColumn("digest", F.md5(F.col("arguments").cast("binary")))
-    said = results.where("id is not null").select("conv", F.col("turn").cast("long").alias("turn"), F.col("id").cast("string").alias("id"), "content")
-    said = said.select(key("id").alias("k4"), F.col("conv").alias("c4"), F.col("id").alias("i4"), F.col("turn").alias("t4"), F.md5(F.col("content").cast("binary")).alias("d4"), "content")
-    first = base.where("id is not null").groupBy("k", "conv", "id").agg(F.min(F.struct("turn", "name", "digest", "parent")).alias("f"))
-    there = first.select(F.col("k").alias("k2"), F.col("conv").alias("c2"), F.col("id").alias("i2"))
-    first = first.withColumn("pk", key(F.col("f.parent")))
-    on = lambda k, c, i, k2, c2, i2: (F.col(k) == F.col(k2)) & F.col(c).eqNullSafe(F.col(c2)) & (F.col(i) == F.col(i2))
-    found = first.join(there.hint("shuffle_hash"), on("pk", "conv", "f.parent", "k2", "c2", "i2"), "left")
-    found = durable(found.select("k", "conv", "id", "f", (F.col("f.parent").isNotNull() & F.col("i2").isNull()).alias("lost")))
-    level = depths(found.select("conv", "id", F.when(~F.col("lost"), F.col("f.parent")).alias("parent"))).withColumn("k3", key("id"))
-    level = level.select("k3", F.col("conv").alias("c3"), F.col("id").alias("i3"), "depth")
-    answer = said.groupBy("k4", "c4", "i4").agg(F.min(F.struct("t4", "d4")).alias("r"))
-    info = found.join(level.hint("shuffle_hash"), on("k", "conv", "id", "k3", "c3", "i3")).join(answer.hint("shuffle_hash"), on("k", "conv", "id", "k4", "c4", "i4"), "left")
-    info = info.select(F.col("k").alias("k5"), F.col("conv").alias("c5"), F.col("id").alias("i5"), "f", "lost", "depth", "r")
-    bodies = said.groupBy("k4", "c4", "i4", "t4", "d4").agg(F.first("content").alias("result"))
-    info = info.join(bodies, on("k5", "c5", "i5", "k4", "c4", "i4") & F.col("t4").eqNullSafe(F.col("r.t4")) & F.col("d4").eqNullSafe(F.col("r.d4")), "left").drop("k4", "c4", "i4", "t4", "d4")
-    each = base.groupBy("k", "conv", "turn", "id", "name", "parent", "digest").agg(F.first("arguments").alias("arguments"), F.count("*").cast("int").alias("copies"))
-    full = each.join(info, on("k", "conv", "id", "k5", "c5", "i5"), "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    full = full.withColumn("main", F.col("id").isNotNull() & (F.col("copy") == 1) & F.struct("turn", "name", "digest", "parent").eqNullSafe(F.col("f")))
+    one = F.coalesce(F.col("conv").cast("string"), F.lit("\0null")).alias("c")  # a conversation's name, never null, so joins have plain keys
+    base = calls.select(one, "conv", F.col("turn").cast("long").alias("turn"), F.col("id").cast("string").alias("id"), "name", "arguments", F.col("parent").cast("string").alias("parent"))
+    base = base.withColumn("digest", F.md5(F.col("arguments").cast("binary")))
+    said = results.select(one, F.col("turn").cast("long").alias("t4"), F.col("id").cast("string").alias("id"), "content").where("id is not null")
+    first = base.where("id is not null").groupBy("c", "id").agg(F.min(F.struct("turn", "name", "digest", "parent")).alias("f"))
+    there = first.select(F.col("c").alias("c2"), F.col("id").alias("i2")).hint("shuffle_hash")
+    found = first.join(there, (F.col("c") == F.col("c2")) & (F.col("f.parent") == F.col("i2")), "left")
+    found = durable(found.select("c", "id", "f", (F.col("f.parent").isNotNull() & F.col("i2").isNull()).alias("lost")))
+    level = depths(found.select(F.col("c").alias("conv"), "id", F.when(~F.col("lost"), F.col("f.parent")).alias("parent")))
+    info = found.join(level.select(F.col("conv").alias("c"), "id", "depth").hint("shuffle_hash"), ["c", "id"])
+    rank = F.struct("t4", F.md5(F.col("content").cast("binary")))
+    answer = said.groupBy("c", "id").agg(F.min(F.struct("t4")).alias("r"), F.min_by("content", rank).alias("result"))
+    each = base.where("id is not null").groupBy("c", "conv", "turn", "id", "name", "parent", "digest").agg(F.first("arguments").alias("arguments"), F.count("*").cast("int").alias("copies"))
+    full = each.join(info.hint("shuffle_hash"), ["c", "id"], "left").join(answer, ["c", "id"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    full = full.withColumn("main", (F.col("copy") == 1) & F.struct("turn", "name", "digest", "parent").eqNullSafe(F.col("f")))
     mine = lambda c: F.when(F.col("main"), F.col(c))
     full = full.select("conv", "turn", "id", "name", "arguments", "parent", "main", "lost", mine("depth").alias("depth"), mine("r.t4").alias("result_turn"), mine("result").alias("result"), (F.col("main") & F.col("r").isNotNull()).alias("answered"))
+    full = full.unionByName(base.where("id is null").drop("c", "digest"), allowMissingColumns=True)
     status = F.expr("case when id is null then 'no id' when not main then 'duplicate' when depth is null then 'cycle' when lost then 'no parent' when not answered then 'no result' when not coalesce(result_turn > turn, false) then 'early result' else 'ok' end")
     rows = full.withColumn("status", status).drop("lost", "main", "answered")
 
