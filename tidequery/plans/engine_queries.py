@@ -319,7 +319,7 @@ ENGINE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "engine_stream_log": (stream_log, "select * from (values (0::bigint, 0::bigint), (1, 1), (2, 3), (3, 4)) t(seq, n)"),
     "engine_keyset_pages": (keyset_pages, "select ((row_number() over (order by o_orderdate desc, o_orderkey desc) - 1) // 20)::bigint as page, o_orderkey from orders where o_custkey < 8"),
     "engine_ignore_two_keys": (ignore_two_keys, "select * from (values (1::bigint, null::bigint), (2, 5), (4, 9), (3, 7)) t(id, k) where id <> 1 union all select min(n_nationkey) + 10, n_regionkey + 100 from nation group by n_regionkey"),
-    "engine_upsert_unique": (upsert_unique, "select * from (values (1::bigint, 9::bigint, 1::bigint, 19, 1::bigint), (2, 5, 22, 19, 1), (3, 7, 3, 19, 1)) t(id, k, n, code, affected)"),
+    "engine_upsert_unique": (upsert_unique, "select * from (values (1::bigint, 9::bigint, 1::bigint, 19, 1), (2, 5, 22, 19, 1), (3, 7, 3, 19, 1)) t(id, k, n, code, affected)"),
     "engine_upsert_batch": (upsert_batch, "with b as (select k % 700 as id, min(k) as f, max(k) as l from range(1000) r(k) group by 1), s as (select coalesce(b.id, t.id) as id, case when t.id is null then b.f else -1 end as first, coalesce(b.l, 100) as n from b full join (select range as id from range(0, 600, 2)) t on b.id = t.id) select id, first, n + case when id = 1 then 11 else 0 end as n from s union all values (900, 0, 3)"),
     "engine_replace_batch": (replace_batch, "select c_custkey as external_id, case when c_custkey between 1 and 100 then 'new ' || c_custkey else c_name end as payload, 100 as affected from customer"),
     "engine_large_in": (large_in, "select o_orderkey, o_totalprice from orders where o_orderkey % 3 = 0 and o_orderkey < 6000"),

@@ -149,7 +149,7 @@ READS: dict[str, tuple[str, str | None, tuple]] = {
     ),
     "group_concat": (
         "SELECT n_regionkey, length(group_concat(n_name)) AS l, length(group_concat(n_name, ' | ')) AS m FROM nation GROUP BY n_regionkey",
-        "select n_regionkey, length(string_agg(n_name, ',')) as l, length(string_agg(n_name, ' | ')) as m from nation group by n_regionkey",
+        "select n_regionkey, length(string_agg(n_name, ','))::integer as l, length(string_agg(n_name, ' | '))::integer as m from nation group by n_regionkey",
         (),
     ),
     "distinct": (
@@ -264,7 +264,7 @@ READS: dict[str, tuple[str, str | None, tuple]] = {
     ),
     "json_group": (
         'SELECT n_regionkey, json_array_length(json_group_array(n_name)) AS n, length(json_group_object(n_name, n_nationkey)) AS c FROM nation GROUP BY n_regionkey',
-        'select n_regionkey, count(*) as n, 1 + sum(length(n_name) + length(n_nationkey::varchar) + 4) as c from nation group by n_regionkey',
+        'select n_regionkey, count(*)::integer as n, (1 + sum(length(n_name) + length(n_nationkey::varchar) + 4))::integer as c from nation group by n_regionkey',
         (),
     ),
     "glob": (
