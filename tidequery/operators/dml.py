@@ -191,7 +191,7 @@ def _named(u: tuple[str, ...]) -> list:
     return [F.col(f"`{c}`") for c in u]
 
 
-def _accepted(cx: Context, t: Table, df: DataFrame, old: DataFrame | None) -> DataFrame:
+def _accepted(cx: Context, t: Table, df: DataFrame, old: DataFrame | None, uniques: tuple) -> DataFrame:
     """The rows that INSERT OR IGNORE puts in one after the other: those that break no constraint of their own and have no key of an old row or of a row put in before.
 
     Rows without a rival before them all go in at once and take their later rivals out; what is left is judged again. With
@@ -200,42 +200,42 @@ def _accepted(cx: Context, t: Table, df: DataFrame, old: DataFrame | None) -> Da
     names = [f"`{c.name}`" for c in t.columns]
     for _, bad in _broken(t):
         df = df.where(~bad)
-    for u in t.uniques if old is not None else ():
+    for u in uniques if old is not None else ():
         df = df.join(old.select(*_named(u)), list(u), "left_anti").select(_ORD, *names)
-    if not t.uniques:
+    if not uniques:
         return df
     rest, out = _staged(df.select(_ORD, *names), cx), None
     while True:
         free = rest
-        for u in t.uniques:
+        for u in uniques:
             best = rest.where(_all_set(u)).groupBy(*_named(u)).agg(F.min(_ORD).alias("_tq_first"))
             free = free.join(best, list(u), "left").where(F.col("_tq_first").isNull() | (F.col(_ORD) == F.col("_tq_first"))).select(_ORD, *names)
         free = _staged(free, cx)
         out = free if out is None else out.unionByName(free)
-        if len(t.uniques) == 1:
+        if len(uniques) == 1:
             return out
         rest = rest.join(free.select(_ORD), _ORD, "left_anti")
-        for u in t.uniques:
+        for u in uniques:
             rest = rest.join(free.select(*_named(u)), list(u), "left_anti")
         rest = _staged(rest.select(_ORD, *names), cx)
         if rest.isEmpty():
             return out
 
 
-def _replacing(cx: Context, t: Table, given: DataFrame, old: DataFrame | None) -> tuple[Table, DataFrame, bool]:
+def _replacing(cx: Context, t: Table, given: DataFrame, old: DataFrame | None, uniques: tuple) -> tuple[Table, DataFrame, bool]:
     """(t without the old rows that go, the rows that stay, whether any old row went) of INSERT OR REPLACE.
 
     Every row is put in for a while: it takes out all rows before it, old or new, that have a key of it.
     """
     names, df, kept, gone = [f"`{c.name}`" for c in t.columns], given, t, 0
-    for u in t.uniques:
+    for u in uniques:
         best = given.where(_all_set(u)).groupBy(*_named(u)).agg(F.max(_ORD).alias("_tq_last"))
         df = df.join(best, list(u), "left").where(F.col("_tq_last").isNull() | (F.col(_ORD) == F.col("_tq_last"))).select(_ORD, *names)
-    if old is not None and t.uniques:
+    if old is not None and uniques:
 
         def replaced(files: tuple[str, ...]) -> DataFrame:
             hit, named = F.lit(False), _filed(cx, t, files)
-            for k, u in enumerate(t.uniques):
+            for k, u in enumerate(uniques):
                 mark = given.where(_all_set(u)).select(*_named(u)).distinct().withColumn(f"_tq_u{k}", F.lit(True))
                 named = named.join(mark, list(u), "left")
                 hit = hit | F.coalesce(F.col(f"_tq_u{k}"), F.lit(False))
@@ -247,21 +247,23 @@ def _replacing(cx: Context, t: Table, given: DataFrame, old: DataFrame | None) -
 
 def _insert(cx: Context, t: Table, mode: str, df: DataFrame) -> tuple[Table, WriteResult, bool]:
     old = cx.store.load(t, cx.session) if t.files else None
-    names = [f"`{c.name}`" for c in t.columns]
+    names, uniques = [f"`{c.name}`" for c in t.columns], t.uniques
     if t.rowid or mode in ("IGNORE", "REPLACE"):
         df = _ordinals(df, cx)
     if t.rowid:
         key = F.col(f"`{t.rowid}`")
         given = df.agg(F.max(key)).first()[0]
         df = df.withColumn(t.rowid, F.coalesce(key, F.lit(max(t.high, given or 0)) + 1 + F.col(_ORD)))
+        if given is None:  # no old row can have a key that follows the greatest, so the table isn't read for it
+            uniques = tuple(u for u in uniques if u != (t.rowid,))
     kept, changed, affected = t, False, None
     if mode == "IGNORE":
-        df = _accepted(cx, t, df, old)
+        df = _accepted(cx, t, df, old, uniques)
     elif mode == "REPLACE":
         affected = _checked(t, df, None, cx, ())
-        kept, df, changed = _replacing(cx, t, df, old)
+        kept, df, changed = _replacing(cx, t, df, old, uniques)
     else:
-        affected = _checked(t, df, old, cx, t.uniques)
+        affected = _checked(t, df, old, cx, uniques)
     ends = (F.max(f"`{t.rowid}`"), F.max_by(f"`{t.rowid}`", _ORD)) if t.rowid else (F.lit(0), F.lit(0))
     size, top, last = df.agg(F.count("*"), *ends).first()
     if not size:
