@@ -380,7 +380,7 @@ def _upsert(cx: Context, t: Table, columns: list[Column], body: list[Token], on:
     cut = find(do, "WHERE")
     where, do = (do[cut + 1 :], do[:cut]) if cut > 0 else ([], do)
     sets = {t.column(name_of(p[0])).name: p[2:] for p in parted(do[find(do, "SET") + 1 :])}
-    df = _staged(_ordinals(_rows(cx, t, columns, [], body, b.args, rows), cx), cx)
+    df = _ordinals(_rows(cx, t, columns, [], body, b.args, rows), cx)
     ranked = df.withColumn("_tq_rank", F.row_number().over(Window.partitionBy(*_named(tuple(keys))).orderBy(_ORD)))
     most = df.where(_all_set(tuple(keys))).groupBy(*_named(tuple(keys))).count().agg(F.max("count")).first()[0] or 1
     plain = not where and all([x.up for x in v[:2]] == ["EXCLUDED", "."] and len(v) == 3 for v in sets.values())
