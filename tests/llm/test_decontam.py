@@ -54,3 +54,13 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert dc.contamination(d.limit(0), b).count() == 0
     assert dc.contamination(d, b.limit(0)).first().n_hit == 0
+
+
+def test_a_window_that_all_items_have(spark):
+    frame = "read the text below and choose the one right answer"
+    items = [(f"i{k:04d}", f"{frame} q{k} is it") for k in range(3000)]
+    docs = [(1, f"so {frame} now"), (2, f"{frame} q7 is it"), (2, "nothing"), (3, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = sorted((r.doc_id, r["items"], r.n_hit) for r in dc.contamination(d, b, block=2000).collect())
+    every = [i for i, _ in items]
+    assert got == [(1, every, 10), (2, [], 0), (2, every, 13), (3, [], 0)]

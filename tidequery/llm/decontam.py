@@ -117,12 +117,9 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", w
 class Index:
     """Windows by their rarest shingle: for threshold 1, that one shingle is the necessary prefix of the ordered set."""
 
-    def __init__(self, rows: list[tuple[str, str, int]], shingle: int) -> None:
-        by_words: dict[bytes, list[str]] = {}
-        for item, words, _ in rows:
-            by_words.setdefault(words.encode(), []).append(item)
-        self.words = list(by_words)
-        self.items = [sorted(by_words[w]) for w in self.words]
+    def __init__(self, rows: list[tuple[int, str]], shingle: int) -> None:
+        self.id = np.array([x for x, _ in rows], np.int64)
+        self.words = [x.encode() for _, x in rows]
         self.n = np.array([w.count(b" ") + 1 for w in self.words], np.int64)
         w = words_of(self.words)
         self.whole = np.zeros(len(self.words), np.uint64)
@@ -199,7 +196,7 @@ def _rarity(docs: DataFrame, index: Index) -> dict[int, int]:
 
 
 def _joined(docs: DataFrame, index: Index) -> DataFrame:
-    """Adds what one block of windows hits to the columns items and spans; sets n_words."""
+    """Adds what one block of windows hits to the columns windows and spans; sets n_words."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,13 +204,13 @@ def _joined(docs: DataFrame, index: Index) -> DataFrame:
             index, w = shared.value, words_of(texts(b))
             at, win = index.hits(w)
             text = np.searchsorted(w.first, at, side="right") - 1
-            items, spans = b.column("items").to_pylist(), b.column("spans").to_pylist()
+            ids, spans = b.column("windows").to_pylist(), b.column("spans").to_pylist()
             for k in np.unique(text).tolist():
                 mine = text == k
-                items[k] = sorted({*items[k], *(i for x in np.unique(win[mine]).tolist() for i in index.items[x])})
+                ids[k] += np.unique(index.id[win[mine]]).tolist()
                 s = at[mine] - w.first[k]
                 spans[k] = merged(spans[k], zip(s.tolist(), (s + index.n[win[mine]]).tolist(), strict=True))
-            named = {"n_words": pa.array(np.diff(w.first), pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": pa.array(spans, b.schema.field("spans").type)}
+            named = {"n_words": pa.array(np.diff(w.first), pa.int64()), "windows": pa.array(ids, pa.list_(pa.int64())), "spans": pa.array(spans, b.schema.field("spans").type)}
             yield pa.RecordBatch.from_arrays([named.get(n, b.column(i)) for i, n in enumerate(b.schema.names)], names=b.schema.names)
 
     return mapped(docs, run, docs.schema)
@@ -236,21 +233,29 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     A window is `window` consecutive words of an item (a shorter item is one window; one without words has none). items:
     ids (as text, sorted) of the items with a window in the document. spans: places [a, z) of the document's hit words.
     The corpus orders the shingles of all windows by rarity; each window is joined by its rarest one, at the place this
-    gives it, must fit in the document, and is compared word for word. The windows are broadcast if there are at most
-    `block`; more go block by block, each over the documents with what the blocks before found.
+    gives it, must fit in the document, and is compared word for word. The distinct windows are broadcast if there are at
+    most `block`; more go block by block, each over the documents with what the blocks before found. Which items have a
+    window is never broadcast or collected: it is joined with the windows that the documents have.
     Null or empty texts have no words. Repeated rows each give a row; equal items are all listed; items with a null id
     are left out; an empty table of either kind is fine; other columns are ignored.
     """
-    now = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<string>)").alias("items"), F.expr("cast(array() as array<struct<a: bigint, z: bigint>>)").alias("spans"))
+    now = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<bigint>)").alias("windows"), F.expr("cast(array() as array<struct<a: bigint, z: bigint>>)").alias("spans"))
     rows = durable(windows(items, item_id, item_text, window))
-    blocks = max(1, -(-rows.count() // block))
+    each = durable(rows.select("words").distinct().withColumn("id", F.monotonically_increasing_id()))
+    blocks = max(1, -(-each.count() // block))
     for k in range(blocks):
-        index = Index([tuple(r) for r in rows.where(f"pmod(xxhash64(words), {blocks}) = {k}").collect()], shingle)
+        index = Index([tuple(r) for r in each.where(f"pmod(xxhash64(id), {blocks}) = {k}").select("id", "words").collect()], shingle)
         index.prefixes(_rarity(now, index))
         now = _joined(now, index)
         if k + 1 < blocks:
             now = durable(now)
-    return now.select("doc_id", "n_words", "items", "spans", F.expr("aggregate(spans, 0L, (s, x) -> s + x.z - x.a)").alias("n_hit"))
+    now = durable(now.drop("text").withColumn("row", F.monotonically_increasing_id()))
+    hit = now.where("size(windows) > 0")
+    owned = hit.select("row", F.explode("windows").alias("id")).join(rows.join(each, "words").select("id", "item"), "id")
+    listed = hit.join(owned.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items")), "row")
+    clean = now.where("size(windows) = 0").withColumn("items", F.expr("cast(array() as array<string>)"))
+    both = clean.unionByName(listed)
+    return both.select("doc_id", "n_words", "items", "spans", F.expr("aggregate(spans, 0L, (s, x) -> s + x.z - x.a)").alias("n_hit"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
