@@ -5,7 +5,9 @@ import time
 import pytest
 
 from tidequery import ConnectionFailed, Database, QueryError, StateError, TransactionError, database
+from tidequery.operators.dml import Context, _hits
 from tidequery.operators.results import large_digest
+from tidequery.plans.frontend import script
 from tidequery.sources import store
 
 
@@ -292,3 +294,55 @@ def test_upserts_one_after_the_other(db):
             db.execute(sql)
         assert e.value.code == 19
     assert db.execute("INSERT INTO t VALUES (1, 0, 5) ON CONFLICT(id) DO UPDATE SET n = excluded.n WHERE t.n > 1000").affected == 0
+
+
+def test_commits_hold_what_changed(db, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "WHOLE", 4)
+    files = lambda st: {k: (set(t.files), t.rows, t.high) for k, t in st.tables.items()}
+    late = Database.open(spark, str(tmp_path / "db"))
+    db.execute("CREATE TABLE other(id INTEGER PRIMARY KEY)")
+    for k in range(5):
+        db.execute("INSERT INTO items(name, value) VALUES (?, ?)", [f"n{k}", k])
+        late.store.refresh()
+        assert files(late.store.head) == files(db.store.head) and late.store.head.seq == db.store.head.seq
+    db.execute("UPDATE items SET value = 9 WHERE id = 2")
+    db.execute("DELETE FROM items WHERE id = 1")
+    db.execute("DROP TABLE other")
+    log = {p.name[:-5]: p.read_text() for p in (tmp_path / "db" / "_log").glob("*.json")}
+    assert sum('"state"' in x for x in log.values()) == sum(int(k) % 4 == 1 for k in log) < len(log)
+    with Database.open(spark, str(tmp_path / "db")) as again:
+        assert files(again.store.head) == files(db.store.head) and names(again) == ["n1", "n2", "n3", "n4"]
+    behind = Database.open(spark, str(tmp_path / "db"))
+    for k in range(5):
+        db.execute("INSERT INTO items(name, value) VALUES (?, ?)", [f"m{k}", k])
+    db.vacuum()
+    for d in (late, behind):  # their next commit's file is gone, or there
+        with pytest.raises(TransactionError) as e:
+            d.store.publish(d.store.head, set())
+        assert e.value.code == 5 and files(d.store.head) == files(db.store.head)
+        d.close()
+    with Database.open(spark, str(tmp_path / "db")) as again:
+        again.execute("DELETE FROM items WHERE value = 9")
+        assert names(again) == ["n2", "n3", "n4", *(f"m{k}" for k in range(5))]
+
+
+def test_conditions_of_writes_reach_the_scan(db, spark):
+    db.execute_batch("INSERT INTO items(name, value) VALUES (?, ?)", [[f"n{i}", i] for i in range(9)])
+    t = db.store.head.table("items")
+    cx = Context(db.store, db._session(db.store.head), db.store.head, "")
+    plan = _hits(cx, t, script("id = 3 AND name IS NOT NULL")[0], {})._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,3)" in plan
+
+
+def test_names_with_spaces(db):
+    db.execute('CREATE TABLE "a table%41"("the key" INTEGER PRIMARY KEY, n INTEGER)')
+    db.execute('INSERT INTO "a table%41" VALUES (1, 1), (2, 2)')
+    assert db.execute('UPDATE "a table%41" SET n = n + 1 WHERE "the key" = 2').affected == 1
+    assert db.execute('DELETE FROM "a table%41" WHERE n = 1').affected == 1
+    assert [tuple(r.values()) for r in db.select('SELECT * FROM "a table%41"')] == [(2, 3)]
+
+
+def test_long_lists(db):
+    db.execute_batch("INSERT INTO items(name, value) VALUES (?, ?)", [[f"n{i}", i] for i in range(50)])
+    given = list(range(10, 5010))
+    assert db.select(f"SELECT COUNT(*) AS c FROM items WHERE value IN ({', '.join('?' * len(given))})", given)[0]["c"] == 40

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -275,32 +277,51 @@ def _insert(cx: Context, t: Table, mode: str, df: DataFrame) -> tuple[Table, Wri
 
 
 def _filed(cx: Context, t: Table, files: tuple[str, ...]) -> DataFrame:
-    return cx.store.load(t, cx.session, files).withColumn("_tq_file", F.input_file_name())
+    """Rows of these files with their file, which is a column of the scan, so conditions still reach the scan."""
+    return cx.store.load(t, cx.session, files).withColumn("_tq_file", F.col("_metadata.file_path"))
 
 
-def _rewritten(cx: Context, t: Table, marked: Callable[[tuple[str, ...]], DataFrame], names: list[str], values: Callable[[DataFrame], DataFrame] | None) -> tuple[Table, int]:
+def _bare(file: str) -> str:
+    """A file's path without scheme."""
+    return re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", file)
+
+
+def _rewritten(cx: Context, t: Table, marked: Callable[[tuple[str, ...]], DataFrame], names: list[str], values: Callable[[DataFrame], DataFrame] | None, hits: DataFrame | None = None) -> tuple[Table, int]:
     """t without (values None) or with changed rows where _tq_hit; only files that hold such rows are read again and written anew.
 
-    marked(files) gives the rows of these files with _tq_file and _tq_hit.
+    marked(files) gives the rows of these files with _tq_file and _tq_hit; hits: the hit rows of all files, if a plainer
+    plan than marked's finds them.
     """
-    touched = {r[0]: (r[1], r[2]) for r in marked(t.files).groupBy("_tq_file").agg(F.count(F.when(F.col("_tq_hit"), 1)).alias("n"), F.count("*")).where("n > 0").collect()}
-    n = sum(x for x, _ in touched.values())
+    hits = marked(t.files).where("_tq_hit") if hits is None else hits
+    touched = {_bare(unquote(r[0])): r[1] for r in hits.groupBy("_tq_file").count().collect()}
+    n = sum(touched.values())
     if not n:
         return t, 0
-    clean = lambda f: f.split("://")[-1].replace("file:", "").lstrip("/")
-    hit = {clean(f) for f in touched}
-    mine, rest = tuple(f for f in t.files if clean(f) in hit), tuple(f for f in t.files if clean(f) not in hit)
-    if len(mine) != len(hit):
+    mine, rest = tuple(f for f in t.files if _bare(f) in touched), tuple(f for f in t.files if _bare(f) not in touched)
+    if len(mine) != len(touched):
         raise QueryError("the files of changed rows can't be told", cx.sql)
     size = t.rows - (n if values is None else 0)
     files = ()
-    if values is not None or sum(m for _, m in touched.values()) > n:
+    if values is not None or cx.store.load(t, cx.session, mine).count() > n:
         rows = marked(mine)
         new = rows.where(~F.col("_tq_hit")).select(*names) if values is None else values(rows)
         files = cx.store.write(t, new.coalesce(len(mine)))
     return replace(t, files=rest + files, rows=size), n
 
 
+def _updated(cx: Context, t: Table, changed: Callable[[tuple[str, ...]], DataFrame], to: Iterable[str], hits: DataFrame | None = None) -> tuple[Table, int]:
+    """t with the rows of changed(files), whose columns `to` differ, in place of the old ones. The files written are what is checked, so an expression is evaluated once."""
+    names, to = [f"`{c.name}`" for c in t.columns], set(to)
+    out, n = _rewritten(cx, t, changed, names, lambda rows: rows.select(*names), hits)
+    if n:
+        old, uniques = set(t.files), tuple(u for u in t.uniques if to & set(u))
+        new, rest = tuple(f for f in out.files if f not in old), tuple(f for f in out.files if f in old)
+        _checked(t, cx.store.load(t, cx.session, new), cx.store.load(t, cx.session, rest) if uniques and rest else None, cx, uniques)
+    if n and t.rowid in to:
+        out = replace(out, high=max(out.high, cx.store.load(t, cx.session, new).agg(F.max(f"`{t.rowid}`")).first()[0] or 0))
+    return out, n
+
+
 def _marked(cx: Context, t: Table, files: tuple[str, ...], where: list[Token], args: dict) -> DataFrame:
     """Rows of these files of t with their file and whether the condition holds."""
     _filed(cx, t, files).createOrReplaceTempView("_tq_target")
@@ -308,6 +329,13 @@ def _marked(cx: Context, t: Table, files: tuple[str, ...], where: list[Token], a
     return cx.session.sql(f"SELECT *, {cond} AS _tq_hit FROM _tq_target AS `{t.name}`", args=args)
 
 
+def _hits(cx: Context, t: Table, where: list[Token], args: dict) -> DataFrame:
+    """The files of rows for which the condition holds, as a filter that reaches the scan."""
+    _filed(cx, t, t.files).createOrReplaceTempView("_tq_target")
+    cond = f" WHERE CAST(({text_of(dialect(where))}) AS BOOLEAN)" if where else ""
+    return cx.session.sql(f"SELECT _tq_file FROM _tq_target AS `{t.name}`{cond}", args=args)
+
+
 def update(cx: Context, b: Bound) -> tuple[Table, WriteResult, bool]:
     """UPDATE t SET column = expression, ... [FROM source] [WHERE condition]."""
     ts = b.ts
@@ -339,17 +367,8 @@ def update(cx: Context, b: Bound) -> tuple[Table, WriteResult, bool]:
         _marked(cx, t, files, ts[where + 1 :] if where > 0 else [], b.args).createOrReplaceTempView("_tq_marked")
         return cx.session.sql(f"SELECT _tq_file, _tq_hit, {', '.join(exprs)} FROM _tq_marked AS `{t.name}`", args=b.args)
 
-    new = changed(t.files)
-    names = [f"`{c.name}`" for c in t.columns]
-    touched = tuple(u for u in t.uniques if any(c in sets for c in u))
-    hit = new.where("_tq_hit")
-    count = _checked(t, hit.select(*names), new.where("not _tq_hit") if touched else None, cx, touched)
-    if not count:
-        return t, WriteResult(), False
-    out, n = _rewritten(cx, t, changed, names, lambda rows: rows.select(*names))
-    if t.rowid in sets:
-        out = replace(out, high=max(out.high, hit.agg(F.max(f"`{t.rowid}`")).first()[0] or 0))
-    return out, WriteResult(n), True
+    out, n = _updated(cx, t, changed, sets, None if source > 0 else _hits(cx, t, ts[where + 1 :] if where > 0 else [], b.args))
+    return out, WriteResult(n), n > 0
 
 
 def delete(cx: Context, b: Bound) -> tuple[Table, WriteResult, bool]:
@@ -359,7 +378,7 @@ def delete(cx: Context, b: Bound) -> tuple[Table, WriteResult, bool]:
     if where < 0 or not t.files:
         n = t.rows
         return replace(t, files=(), rows=0, high=t.high if t.sticky else 0), WriteResult(n), n > 0
-    out, n = _rewritten(cx, t, lambda files: _marked(cx, t, files, ts[where + 1 :], b.args), [f"`{c.name}`" for c in t.columns], None)
+    out, n = _rewritten(cx, t, lambda files: _marked(cx, t, files, ts[where + 1 :], b.args), [f"`{c.name}`" for c in t.columns], None, _hits(cx, t, ts[where + 1 :], b.args))
     if n and t.rowid and not t.sticky:
         top = cx.store.load(out, cx.session).agg(F.max(f"`{t.rowid}`")).first()[0] if out.files else 0
         out = replace(out, high=top or 0)
@@ -418,10 +437,7 @@ def _merged(cx: Context, t: Table, df: DataFrame, keys: list[str], sets: dict[st
             _filed(cx, t, files).createOrReplaceTempView("_tq_target")
             return cx.session.sql(query, args=args)
 
-        old, all_ = t, changed_rows(t.files)
-        touched = tuple(u for u in t.uniques if any(c in sets for c in u))
-        _checked(t, all_.where("_tq_hit").select(*names), all_.where("not _tq_hit") if touched else None, cx, touched)
-        t, n = _rewritten(cx, old, changed_rows, names, lambda rows: rows.select(*names))
+        t, n = _updated(cx, t, changed_rows, sets)
     out, got, more = _insert(cx, t, "ABORT", fresh)
     return out, WriteResult(n + got.affected, got.last_id), n > 0 or more
 
@@ -474,10 +490,7 @@ def keyed_batch(cx: Context, ts: list[Token], sets: list[dict[str, object]]) ->
     to = {c.name: f"_v{i}" for i, (c, _) in enumerate(new)}
     changed = [F.when(F.col("_tq_hit"), F.col(to[c.name])).otherwise(F.col(f"`{c.name}`")).alias(c.name) if c.name in to else F.col(f"`{c.name}`") for c in t.columns]
     final = lambda files: marked(files).select("_tq_file", "_tq_hit", *changed)
-    new_rows = final(t.files)
-    touched = tuple(u for u in t.uniques if any(c in to for c in u))
-    _checked(t, new_rows.where("_tq_hit").select(*names), new_rows.where("not _tq_hit") if touched else None, cx, touched)
-    out, n = _rewritten(cx, t, final, names, lambda rows: rows.select(*names))
+    out, n = _updated(cx, t, final, to)
     return out, WriteResult(n), n > 0
 
 
