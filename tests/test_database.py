@@ -346,3 +346,13 @@ def test_long_lists(db):
     db.execute_batch("INSERT INTO items(name, value) VALUES (?, ?)", [[f"n{i}", i] for i in range(50)])
     given = list(range(10, 5010))
     assert db.select(f"SELECT COUNT(*) AS c FROM items WHERE value IN ({', '.join('?' * len(given))})", given)[0]["c"] == 40
+
+
+def test_whole_folders_are_read_as_folders(db, spark, monkeypatch):
+    monkeypatch.setattr(store, "FOLDER", 3)
+    s, t = db.store, db.store.head.table("items")
+    many = s.write(t, spark.range(0, 40, 1, 4).selectExpr("id", "'x' AS name", "id AS value"))
+    few = s.write(t, spark.range(0, 2, 1, 2).selectExpr("id", "'x' AS name", "id AS value"))
+    s._sizes.clear()
+    assert s._paths(many + few) == [many[0].rsplit("/", 1)[0], *few] and s._paths(many[1:]) == list(many[1:])
+    assert s.load(t, spark, many + few).count() == 42 and s.load(t, spark, many[1:]).count() == 30
